@@ -1,0 +1,225 @@
+"""Questions answered by streams: each drains its input and returns the final table."""
+
+from __future__ import annotations
+
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, functions as F
+
+from rillbook.functions.clock import as_of, span
+from rillbook.operators import state as s
+from rillbook.plans.ingest_questions import FORM2, ROUTED_SQL, UPDATES_SQL
+from rillbook.plans.monitor_questions import ALERTS, SEQUENCE, SIX_HOURS_MS
+from rillbook.plans.registry import question
+from rillbook.plans.sqltext import BASE_VALID, TYPE_COUNTS
+from rillbook.sources import sinks
+from rillbook.sources.messages import file_stream
+from rillbook.sources.storage import read_batches, scratch
+from rillbook.streaming import jobs
+
+
+def _staged(t, df: DataFrame, name: str, files: int | None = None) -> tuple[str, str]:
+    """Write a derived table as the files a stream will read; returns ``(input, base folder)``."""
+    base = scratch(t.spark, name)
+    (df.repartition(files) if files else df).write.parquet(f"{base}/in")
+    return f"{base}/in", base
+
+
+def _stream(t, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path, base = _staged(t, df, name)
+    return t.spark.readStream.schema(df.schema).parquet(path), base
+
+
+def _table(t, stream: DataFrame, base: str, **kw) -> DataFrame:
+    """Drain a stream into a table and read it."""
+    jobs.finish(jobs.start_table(stream, f"{base}/out", f"{base}/checkpoint", **kw))
+    return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+# --------------------------------------------------------------- sources and ingest
+
+
+@question(
+    "a01_json_topic_stream",
+    "comm_events",
+    ROUTED_SQL + """SELECT r.topic, c.event_id, c.user_id, c.event_type, date_trunc('second', c.ts) AS ts
+    FROM routed r JOIN comm_events c ON json_extract_string(r.value, '$.eventId') = c.event_id WHERE r.topic IS NOT NULL""",
+)
+def json_topic_stream(t):
+    out = sinks.routed(t.comm_events).filter(F.col("topic").isNotNull())
+    messages = out.select(
+        "topic", F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"), "key", "value"
+    )
+    path, base = _staged(t, messages, "a01")
+    raw = file_stream(t.spark, path, list(sinks.TOPICS.values()))
+    rows = jobs.decoded_json(raw).filter(F.col("outcome") == "accepted").select("topic", "event_id", "user_id", "event_type", "ts")
+    return _table(t, rows, base)
+
+
+@question("a02_queue_stream", "raw_messages", """SELECT topic, partition, "offset", key, value FROM raw_messages""")
+def queue_stream(t):
+    path, base = _staged(t, t.raw_messages, "a02")
+    return _table(t, file_stream(t.spark, path, ["call-queue", "digital-queue"]), base)
+
+
+def _decoded(t, name: str) -> DataFrame:
+    path, base = _staged(t, t.raw_messages, name)
+    return _table(t, jobs.decoded(file_stream(t.spark, path)), base, by=("outcome",))
+
+
+@question(
+    "i01_continuous_ingest",
+    "raw_messages",
+    "WITH " + FORM2 + """SELECT user_id, event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM form2 WHERE reason IS NULL GROUP BY 1, 2""",
+)
+def continuous_ingest(t):
+    rows = _decoded(t, "i01").filter(F.col("outcome") == "accepted")
+    return s.user_type_counts(rows)
+
+
+@question(
+    "i09_bad_record_quarantine",
+    "raw_messages",
+    "WITH " + FORM2 + "SELECT topic, reason, count(*) AS n FROM form2 WHERE reason IS NOT NULL GROUP BY 1, 2",
+)
+def bad_record_quarantine(t):
+    rows = _decoded(t, "i09").filter(F.col("outcome") == "quarantined")
+    return rows.groupBy("topic", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@question("i07_bounded_intake", "raw_messages", "SELECT 4 AS batches, count(*) AS messages FROM raw_messages")
+def bounded_intake(t):
+    path, base = _staged(t, t.raw_messages, "i07", files=8)
+    stream = file_stream(t.spark, path, max_files=2)
+    jobs.finish(jobs.start_batches(stream, jobs.write_updates(f"{base}/out"), f"{base}/checkpoint"))
+    done = read_batches(t.spark, f"{base}/out", stream.schema)
+    return done.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("n").alias("messages")
+    )
+
+
+@question(
+    "i12_restart",
+    "raw_messages",
+    "WITH " + FORM2 + "SELECT reason IS NULL AS is_accepted, count(*) AS n FROM form2 GROUP BY 1",
+)
+def restart(t):
+    """The job stops after part of the input and goes on from its checkpoint when more has come."""
+    base = scratch(t.spark, "i12")
+    raw = t.raw_messages
+    first = F.col("topic") == "call-queue"
+    for part in (raw.filter(first), raw.filter(~first)):
+        part.write.mode("append").parquet(f"{base}/in")
+        out = _table(t, jobs.decoded(file_stream(t.spark, f"{base}/in")), base, by=("outcome",))
+    return out.groupBy((F.col("outcome") == "accepted").alias("is_accepted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ----------------------------------------------------------------------- user state
+
+
+@question("i02_stream_user_state", "comm_events", "WITH " + TYPE_COUNTS + "SELECT * FROM type_counts")
+def stream_user_state(t):
+    stream, base = _stream(t, t.comm_events, "i02")
+    folded = jobs.user_type_fold(stream)
+    jobs.finish(jobs.start_batches(folded, jobs.write_updates(f"{base}/out"), f"{base}/checkpoint", mode="update"))
+    return jobs.latest_update(read_batches(t.spark, f"{base}/out", folded.schema), ["user_id", "event_type"])
+
+
+@question("i03_stream_sequence_labels", "comm_events", "WITH " + SEQUENCE + "SELECT * FROM checked")
+def stream_sequence_labels(t):
+    stream, base = _stream(t, t.comm_events, "i03")
+    return _table(t, jobs.sequence_labels(stream, SIX_HOURS_MS), base)
+
+
+@question(
+    "i04_late_labels",
+    "comm_events",
+    "WITH " + SEQUENCE + "SELECT label, count(*) AS n, max(late_ms) AS max_late_ms FROM checked GROUP BY 1",
+)
+def late_labels(t):
+    stream, base = _stream(t, t.comm_events, "i04")
+    labelled = jobs.sequence_labels(stream, SIX_HOURS_MS)
+    jobs.finish(jobs.start_batches(labelled, jobs.write_by(f"{base}/out", "label"), f"{base}/checkpoint"))
+    rows = t.spark.read.schema("seq BIGINT, late_ms BIGINT, label STRING").parquet(f"{base}/out")
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("late_ms").alias("max_late_ms"))
+
+
+@question(
+    "i05_user_order",
+    "raw_messages",
+    "WITH " + FORM2 + """SELECT user_id, "offset", event_type, row_number() OVER (PARTITION BY user_id ORDER BY "offset") AS position FROM form2 WHERE reason IS NULL""",
+)
+def user_order(t):
+    path, base = _staged(t, t.raw_messages, "i05")
+    rows = jobs.decoded(file_stream(t.spark, path)).filter(F.col("outcome") == "accepted")
+    return _table(t, jobs.user_positions(rows), base)
+
+
+@question(
+    "i06_idle_users",
+    "comm_events",
+    f"""SELECT user_id, max(ts) AS last_ts, count(*) AS events FROM comm_events WHERE {BASE_VALID} GROUP BY 1
+    HAVING date_trunc('millisecond', max(ts)) + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM comm_events WHERE {BASE_VALID})""",
+)
+def idle_users(t):
+    stream, base = _stream(t, t.comm_events, "i06")
+    idle = _table(t, jobs.idle_users(stream), base)
+    return idle.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+
+
+@question("i13_update_notifications", "comm_events", UPDATES_SQL + "SELECT * FROM updates")
+def update_notifications(t):
+    stream, base = _stream(t, t.comm_events, "i13")
+    updates = jobs.channel_updates(stream)
+    jobs.finish(jobs.start_batches(updates, jobs.write_feeds(f"{base}/out"), f"{base}/checkpoint"))
+    sent = read_batches(t.spark, f"{base}/out/aggregation-updates", updates.schema).drop("batch_id")
+    return sent.withColumn("last_updated", F.col("last_updated").cast("timestamp_ntz"))
+
+
+# -------------------------------------------------------------------------- windows
+
+
+def _window_sql(size: str) -> str:
+    return f"""WITH k AS (SELECT time_bucket(INTERVAL '{size}', ts) AS window_start, count(*) AS events FROM comm_events WHERE ts IS NOT NULL GROUP BY 1)
+    SELECT window_start, window_start + INTERVAL '{size}' AS window_end, events FROM k
+    WHERE window_start + INTERVAL '{size}' <= (SELECT date_trunc('millisecond', max(ts)) FROM comm_events) - INTERVAL 10 MINUTE"""
+
+
+def _window_question(name: str, size: str):
+    @question(name, "comm_events", _window_sql(size))
+    def job(t):
+        stream, base = _stream(t, t.comm_events, name[:3])
+        return _table(t, jobs.windowed_counts(stream, size), base)
+
+    return job
+
+
+minute_windows = _window_question("i08_minute_windows", "1 minute")
+five_minute_windows = _window_question("i08_five_minute_windows", "5 minutes")
+hour_windows = _window_question("i08_hour_windows", "1 hour")
+
+
+@question(
+    "i11_rolling_hour",
+    "comm_events",
+    """WITH k AS (SELECT time_bucket(INTERVAL '1 minute', ts) AS window_start, count(*) AS events FROM comm_events WHERE ts IS NOT NULL GROUP BY 1)
+    SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, events FROM k
+    WHERE window_start + INTERVAL 1 MINUTE > (SELECT max(ts) FROM comm_events) - INTERVAL 1 HOUR""",
+)
+def rolling_hour(t):
+    stream, base = _stream(t, t.comm_events, "i11")
+    minutes = jobs.recent_minutes(stream)
+    jobs.finish(jobs.start_batches(minutes, jobs.write_updates(f"{base}/out"), f"{base}/checkpoint", mode="update"))
+    kept = jobs.latest_update(read_batches(t.spark, f"{base}/out", minutes.schema), ["window_start", "window_end"])
+    return kept.filter(F.col("window_end") > as_of(t.comm_events) - span(timedelta(hours=1)))
+
+
+@question(
+    "i10_stream_alerts",
+    "samples",
+    ALERTS + """SELECT alert_type, seq, ts, value, 'RAISED' AS event FROM raised
+    UNION ALL SELECT alert_type, seq, ts, value, 'CLEARED' FROM r WHERE NOT breach AND after_breach""",
+)
+def stream_alerts(t):
+    stream, base = _stream(t, t.samples, "i10")
+    return _table(t, jobs.alert_stream(stream), base).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
