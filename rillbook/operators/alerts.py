@@ -54,9 +54,10 @@ def alert_transitions(
 
     A clear forgets the last alert, so each run of consecutive breaches stands alone. Its first
     breach raises and the reading after it clears: plain windows. Which later breaches raise again
-    depends on the alert before. That chain is folded range by range: first every range tells, for
-    each breach the chain could enter at, when it would leave the range; then only these few rows
-    are followed from range to range; last every range lists its alerts. No task sees a whole run.
+    depends on the alert before, a chain that one task per alert type and ``fold_range`` follows for
+    all its runs at once. For the few runs that cross such ranges, each range first tells, for every
+    breach the chain could enter at, when it would leave; following only these rows gives each range
+    the time it starts with. No task sees more than one range of an alert type.
     """
     r = running(
         readings(samples),
@@ -75,20 +76,28 @@ def alert_transitions(
     wait, width = _us(cooldown), _us(fold_range)
     if width < wait:
         raise ValueError("the fold range must not be shorter than the cooldown")
+    us = micros(F.col("ts"))
     breaches = r.filter("breach").select(
-        "alert_type", "run", "seq", "ts", "value", micros(F.col("ts")).alias("us"),
-        F.floor(micros(F.col("ts")) / F.lit(width)).alias("fold"),
+        "alert_type", "run", "seq", "ts", "value", us.alias("us"), F.floor(us / F.lit(width)).cast("bigint").alias("fold")
     )
-    exits = breaches.select("alert_type", "run", "fold", "us").groupBy("alert_type", "run", "fold").applyInPandas(
-        lambda pdf: _exits(pdf, wait, width), "alert_type string, run long, fold long, enter_us long, next_us long"
+    place = ["alert_type", "run", "fold"]
+    crossing = (
+        breaches.groupBy("alert_type", "run")
+        .agg(F.min("fold").alias("lo"), F.max("fold").alias("hi"))
+        .filter(F.col("lo") < F.col("hi"))
+        .select("alert_type", "run")
     )
-    entries = exits.groupBy("alert_type", "run").applyInPandas(
-        _follow, "alert_type string, run long, fold long, from_us long"
+    exits = (
+        breaches.select(*place, "us")
+        .join(crossing, ["alert_type", "run"], "left_semi")
+        .groupBy(*place)
+        .applyInPandas(lambda pdf: _exits(pdf, wait, width), "alert_type string, run long, fold long, enter_us long, next_us long")
     )
+    entries = exits.groupBy("alert_type", "run").applyInPandas(_follow, "alert_type string, run long, fold long, from_us long")
     raised = (
-        breaches.join(entries, ["alert_type", "run", "fold"])
-        .groupBy("alert_type", "run", "fold")
-        .applyInPandas(lambda pdf: _chain(pdf, wait), "alert_type string, seq long, ts timestamp_ntz, value double, event string")
+        breaches.join(entries, place, "left")
+        .groupBy("alert_type", "fold")
+        .applyInPandas(lambda pdf: _chains(pdf, wait), "alert_type string, seq long, ts timestamp_ntz, value double, event string")
     )
     return raised.unionByName(cleared)
 
@@ -138,14 +147,19 @@ def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
     return res
 
 
-def _chain(pdf: pd.DataFrame, wait: int) -> pd.DataFrame:
-    """Alerts of one range, given the earliest time of its first one."""
-    rows = pdf.sort_values(["us", "seq"]).reset_index(drop=True)
-    us = rows["us"].to_numpy()
-    picked, i = [], int(np.searchsorted(us, rows["from_us"].iloc[0] if len(rows) else 0))
-    while i < len(us):
-        picked.append(i)
-        i = int(np.searchsorted(us, us[i] + wait))
+def _chains(pdf: pd.DataFrame, wait: int) -> pd.DataFrame:
+    """Alerts of all runs in one range. A run starts at its first breach unless told a later time."""
+    rows = pdf.sort_values(["run", "us", "seq"], ignore_index=True)
+    us, run = rows["us"].to_numpy(), rows["run"].to_numpy()
+    start = rows["from_us"].astype("float64").fillna(-np.inf).to_numpy()
+    bounds = np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), len(run))
+    picked: list[int] = []
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        mine = us[lo:hi]
+        i = int(np.searchsorted(mine, start[lo]))
+        while i < len(mine):
+            picked.append(lo + i)
+            i = int(np.searchsorted(mine, mine[i] + wait))
     return rows.loc[picked, ["alert_type", "seq", "ts", "value"]].assign(event="RAISED")
 
 

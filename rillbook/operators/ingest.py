@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rillbook.functions.barrier import evaluated_once
 from rillbook.functions.text import epoch_ms_time, has_text, ladder, long_or_null, parts
 from rillbook.schemas import (
     ACTION_TYPES,
@@ -20,11 +21,11 @@ from rillbook.schemas import (
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("reason").isNull()).drop("reason")
+    return evaluated_once(parsed).filter(F.col("reason").isNull()).drop("reason")
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("reason").isNotNull())
+    return evaluated_once(parsed).filter(F.col("reason").isNotNull())
 
 
 # ------------------------------------------------------------------ vocabulary

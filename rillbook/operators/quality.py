@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rillbook.functions.barrier import evaluated_once
 from rillbook.functions.text import has_text
 from rillbook.operators.ingest import channel_of
 from rillbook.schemas import ENGAGEMENT_COUNTERS, EVENT_TYPES
@@ -143,34 +144,34 @@ def channel_rules(columns: list[str]) -> list[Rule]:
 
 
 def _with_violations(events: DataFrame) -> DataFrame:
-    """One pass over the table; each row carries the array of rules it breaks."""
+    """One pass over the table; ``broken`` lists the rules a row breaks as ``field.code,field.code``.
+
+    A joined text instead of an array of structs keeps all rules inside generated code.
+    """
     ch = F.col("channel")
-    checks = [
-        F.when((ch == r.channel) & r.violated, F.struct(F.lit(r.field).alias("field"), F.lit(r.code).alias("code")))
-        for r in channel_rules(events.columns)
-    ]
-    return events.withColumn("channel", channel_of(F.col("event_type"))).withColumn(
-        "violations", F.filter(F.array(*checks), lambda v: v.isNotNull())
-    )
+    checks = [F.when((ch == r.channel) & r.violated, F.lit(r.name)) for r in channel_rules(events.columns)]
+    rows = events.withColumn("channel", channel_of(F.col("event_type")))
+    return rows.select("event_id", "channel", F.concat_ws(",", *checks).alias("broken"))
 
 
 def dq_violations(events: DataFrame) -> DataFrame:
     """``(event_id, channel, field, code)``, one row per broken rule."""
-    return (
-        _with_violations(events)
-        .select("event_id", "channel", F.explode("violations").alias("v"))
-        .select("event_id", "channel", F.col("v.field").alias("field"), F.col("v.code").alias("code"))
+    # The outer form leaves the filter above the rules; the plain one would evaluate them twice.
+    each = _with_violations(events).select(
+        "event_id", "channel", F.explode_outer(F.split(F.nullif(F.col("broken"), F.lit("")), ",")).alias("rule")
+    )
+    return each.filter(F.col("rule").isNotNull()).select(
+        "event_id", "channel",
+        F.substring_index("rule", ".", 1).alias("field"),
+        F.substring_index("rule", ".", -1).alias("code"),
     )
 
 
 def dq_messages(events: DataFrame) -> DataFrame:
     """One message per event that breaks a rule."""
-    lines = F.transform("violations", lambda v: F.concat_ws(": ", v["field"], v["code"]))
-    return (
-        _with_violations(events)
-        .filter(F.size("violations") > 0)
-        .select("event_id", F.concat(F.lit("Validation failed: "), F.array_join(lines, ", ")).alias("message"))
-    )
+    text = F.replace(F.replace(F.col("broken"), F.lit("."), F.lit(": ")), F.lit(","), F.lit(", "))
+    rows = _with_violations(events).select("event_id", F.concat(F.lit("Validation failed: "), text).alias("message"), "broken")
+    return evaluated_once(rows).filter(F.col("broken") != "").drop("broken")
 
 
 def dq_report(events: DataFrame) -> DataFrame:

@@ -9,8 +9,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rillbook.operators.journal import assign_sequence
+from rillbook.schemas import JOURNAL as JOURNAL_RECORD
 from rillbook.session import configure
 
+JOURNAL_COLUMNS = JOURNAL_RECORD.names
+
 COMM_EVENTS = """
 SELECT event_id AS seq,
   concat('evt-', CAST(event_id AS STRING)) AS event_id,
@@ -54,7 +58,7 @@ FROM events
 
 JOURNAL = """
 SELECT concat('PersistentUserActor|', user_id) AS persistence_id,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts_us, seq) AS sequence_nr,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts_us, seq) AS BIGINT) AS sequence_nr,
   event_type, event_data, ts, seq
 FROM comm_events
 WHERE trim(user_id) <> '' AND event_type IS NOT NULL AND ts_us IS NOT NULL
@@ -152,10 +156,12 @@ def render(text: str, engine: str) -> str:
     return text.strip()
 
 
-def _closure(names: list[str]) -> list[str]:
+def _closure(names: list[str], given: tuple[str, ...]) -> list[str]:
     need: set[str] = set()
 
     def visit(name: str) -> None:
+        if name in given:
+            return
         for dep in VIEWS[name][1]:
             visit(dep)
         need.add(name)
@@ -165,9 +171,12 @@ def _closure(names: list[str]) -> list[str]:
     return [n for n in VIEWS if n in need]
 
 
-def with_views(names: list[str], body: str, engine: str) -> str:
-    """``body`` with the named views in front as common table expressions."""
-    ctes = [f"{n} AS (\n{render(VIEWS[n][0], engine)}\n)" for n in _closure(names)]
+def with_views(names: list[str], body: str, engine: str, given: tuple[str, ...] = ()) -> str:
+    """``body`` with the named views in front as common table expressions.
+
+    Views in ``given`` exist already and are only read.
+    """
+    ctes = [f"{n} AS (\n{render(VIEWS[n][0], engine)}\n)" for n in _closure(names, given)]
     body = render(body, engine)
     if not ctes:
         return body
@@ -189,9 +198,24 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _derive(self, name: str, given: tuple[str, ...] = ()) -> DataFrame:
+        for base in ("events", "customer"):
+            self.base(base).createOrReplaceTempView(base)
+        return self.spark.sql(with_views([name], f"SELECT * FROM {name}", "spark", given))
+
+    @property
+    def journal(self) -> DataFrame:
+        """The journal view, numbered by the library's own job: a hot user is no single task here."""
+        rows = self.comm_events.filter("trim(user_id) <> '' AND event_type IS NOT NULL AND ts_us IS NOT NULL")
+        numbered = assign_sequence(rows.select("user_id", "event_type", "event_data", "ts", "seq"))
+        return numbered.select(*JOURNAL_COLUMNS)
+
+    @property
+    def migrated_events(self) -> DataFrame:
+        self.journal.createOrReplaceTempView("journal")
+        return self._derive("migrated_events", ("journal",))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
-        for base in ("events", "customer"):
-            self.base(base).createOrReplaceTempView(base)
-        return self.spark.sql(with_views([name], f"SELECT * FROM {name}", "spark"))
+        return self._derive(name)
