@@ -23,3 +23,11 @@ def span(delta: timedelta) -> Column:
 
 def micros(col: Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
+
+
+def time_key(ts: Column, seq: Column) -> Column:
+    """Time and row number as one sortable number.
+
+    A maximum over a struct makes Spark sort all rows; over a decimal it stays a hash aggregate.
+    """
+    return micros(ts).cast("decimal(38,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + seq.cast("decimal(20,0)")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from rillbook.functions.clock import micros
 from rillbook.functions.text import ratio
 from rillbook.operators.ingest import user_journal, user_of
-from rillbook.operators.ordered import Running, running
+from rillbook.operators.ordered import Running, join_per_key, running
 from rillbook.operators.state import merge_states, user_type_counts
 from rillbook.schemas import JOURNAL, PERSISTENCE_PREFIX, SNAPSHOT_EVERY, SNAPSHOTS_KEPT
 
@@ -50,7 +50,7 @@ def assign_sequence(new: DataFrame, journal: DataFrame | None = None, hot_rows:
     if journal is None:
         return numbered
     return (
-        numbered.join(highest_sequence(journal), "persistence_id", "left")
+        join_per_key(numbered, highest_sequence(journal), ["persistence_id"], "left", hot_rows)
         .withColumn("sequence_nr", F.col("sequence_nr") + F.coalesce("highest", F.lit(0)))
         .drop("highest")
     )
@@ -75,13 +75,15 @@ def append_journal(new: DataFrame, path: str) -> None:
     """Append to the stored journal, keeping its key unique.
 
     Folders by day serve reads by time; inside a folder the files are sorted by key, so that Parquet
-    statistics serve reads of one id.
+    statistics serve reads of one id. Rebalancing by day gives files of even size: a full day is cut
+    into several tasks, small days share one.
     """
     stored = stored_journal(new.sparkSession, path)
     rows = insertable(new, stored) if stored is not None else insertable(new, new.filter(F.lit(False)))
     (
         rows.select(*JOURNAL.names)
         .withColumn("day", F.to_date("ts"))
+        .hint("rebalance", "day")
         .sortWithinPartitions("day", *KEY)
         .write.mode("append")
         .partitionBy("day")
@@ -103,20 +105,20 @@ def stored_journal(spark: SparkSession, path: str) -> DataFrame | None:
 # -------------------------------------------------------- snapshots and replay
 
 
-def _with_last_snapshot(journal: DataFrame) -> DataFrame:
+def _with_last_snapshot(journal: DataFrame, hot_rows: int | None) -> DataFrame:
     last = highest_sequence(journal).select(
         "persistence_id", (F.floor(F.col("highest") / SNAPSHOT_EVERY) * SNAPSHOT_EVERY).alias("last_snapshot")
     )
-    return journal.join(last, "persistence_id")
+    return join_per_key(journal, last, ["persistence_id"], hot_rows=hot_rows)
 
 
-def snapshots(journal: DataFrame) -> DataFrame:
+def snapshots(journal: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """State by type at the newest snapshot points of every id, long form.
 
     An event enters the kept snapshots at one point and stays in all later ones, so the events are
     first counted by entry point (a few rows per id and type) and only those counts are spread.
     """
-    rows = _with_last_snapshot(journal)
+    rows = _with_last_snapshot(journal, hot_rows)
     first = F.ceil(F.col("sequence_nr") / SNAPSHOT_EVERY) * SNAPSHOT_EVERY
     oldest_kept = F.greatest(
         F.lit(SNAPSHOT_EVERY).cast("bigint"), F.col("last_snapshot") - SNAPSHOT_EVERY * (SNAPSHOTS_KEPT - 1)
@@ -135,9 +137,9 @@ def snapshots(journal: DataFrame) -> DataFrame:
     )
 
 
-def live_journal(journal: DataFrame) -> DataFrame:
+def live_journal(journal: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Rows no snapshot covers; the others may be deleted."""
-    return _with_last_snapshot(journal).filter(F.col("sequence_nr") > F.col("last_snapshot")).select(*journal.columns)
+    return _with_last_snapshot(journal, hot_rows).filter(F.col("sequence_nr") > F.col("last_snapshot")).select(*journal.columns)
 
 
 def replay(journal: DataFrame) -> DataFrame:

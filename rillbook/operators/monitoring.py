@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rillbook.functions.clock import micros, span
+from rillbook.functions.clock import micros, span, time_key
 from rillbook.functions.text import ladder, percent, ratio
 from rillbook.operators.ordered import Running, latest_per_key, running
 from rillbook.schemas import STAGES
@@ -149,7 +149,7 @@ def consecutive_failures(log: DataFrame) -> DataFrame:
     Only the run at the end matters: find the last success per stage, count failures after it. Two
     plain aggregates instead of a sort of all rows of a stage; the broadcast is one row per stage.
     """
-    rows = log.filter(c("stage").isin(STAGES)).withColumn("pos", F.struct("ts", "seq"))
+    rows = log.filter(c("stage").isin(STAGES)).withColumn("pos", time_key(c("ts"), c("seq")))
     last_ok = rows.groupBy("stage").agg(F.max(F.when(c("ok"), c("pos"))).alias("last_ok"), F.max("ts").alias("last_updated"))
     after = (
         rows.filter(~c("ok"))

@@ -37,14 +37,13 @@ def hot_limit(df: DataFrame, hot_rows: int | None) -> int:
     return hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
 
 
-def split_hot(df: DataFrame, keys: list[str], pos: Column, hot_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Add ``_blk``, the range number inside a hot key, 0 for other keys; tell whether any key is hot.
+def _hot_keys(df: DataFrame, keys: list[str], pos: Column, limit: int) -> list:
+    """Keys with more than ``limit`` rows and the range of ``pos`` they cover, the largest first.
 
-    ``pos`` is a BIGINT that never decreases in the wanted order. Measuring is one map-side combined
-    aggregate over the key and ``pos``; at most ``MAX_HOT_KEYS`` rows reach the driver.
+    One map-side combined aggregate over the key and ``pos``; at most ``MAX_HOT_KEYS`` rows reach the
+    driver.
     """
-    limit = hot_limit(df, hot_rows)
-    hot = (
+    return (
         df.select(*keys, pos.alias("_pos"))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("lo"), F.max("_pos").alias("hi"))
@@ -53,14 +52,42 @@ def split_hot(df: DataFrame, keys: list[str], pos: Column, hot_rows: int | None
         .limit(MAX_HOT_KEYS)
         .collect()
     )
+
+
+def _ddl(df: DataFrame, keys: list[str]) -> list[str]:
+    return [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner", hot_rows: int | None = None) -> DataFrame:
+    """Join rows with a table of one row per key.
+
+    A shuffle join would send all rows of a hot key to one task, and run-time skew handling does not
+    cut a join whose other side is an aggregate on the same key. So the rows of measured hot keys meet
+    a broadcast of those keys only, at most ``MAX_HOT_KEYS`` rows; the others are joined as usual.
+    """
+    hot = _hot_keys(rows, keys, F.lit(0), hot_limit(rows, hot_rows))
+    if not hot:
+        return rows.join(per_key, keys, how)
+    listed = rows.sparkSession.createDataFrame([tuple(h[k] for k in keys) for h in hot], ", ".join(_ddl(rows, keys)))
+    few = per_key.join(F.broadcast(listed), keys, "left_semi")
+    crowded = rows.join(F.broadcast(listed), keys, "left_semi").join(F.broadcast(few), keys, how)
+    return rows.join(F.broadcast(listed), keys, "left_anti").join(per_key, keys, how).unionByName(crowded)
+
+
+def split_hot(df: DataFrame, keys: list[str], pos: Column, hot_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """Add ``_blk``, the range number inside a hot key, 0 for other keys; tell whether any key is hot.
+
+    ``pos`` is a BIGINT that never decreases in the wanted order.
+    """
+    limit = hot_limit(df, hot_rows)
+    hot = _hot_keys(df, keys, pos, limit)
     if not hot:
         return df.withColumn(_BLK, F.lit(0).cast("bigint")), False
     rows = []
     for h in hot:
         ranges = max(2, -(-h["n"] // limit) * OVERSPLIT)
         rows.append((*(h[k] for k in keys), h["lo"], max(1, (h["hi"] - h["lo"]) // ranges + 1)))
-    fields = [df.schema[k] for k in keys]
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["_lo BIGINT", "_width BIGINT"])
+    ddl = ", ".join([*_ddl(df, keys), "_lo BIGINT", "_width BIGINT"])
     small = df.sparkSession.createDataFrame(rows, ddl)
     # Broadcast is bounded by MAX_HOT_KEYS rows.
     out = df.join(F.broadcast(small), keys, "left")

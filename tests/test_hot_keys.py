@@ -24,6 +24,9 @@ def test_jobs_agree(tables, hot_rows):
     same(state.update_feed(ev, hot_rows), state.update_feed(ev))
     new = ev.filter(quality.base_valid()).select("seq", "user_id", "ts")
     same(journal.assign_sequence(new, tables.journal, hot_rows), journal.assign_sequence(new, tables.journal))
+    jr = tables.journal
+    same(journal.snapshots(jr, hot_rows), journal.snapshots(jr))
+    same(journal.live_journal(jr, hot_rows), journal.live_journal(jr))
     same(migration.out_of_order(mig, hot_rows), migration.out_of_order(mig))
     same(monitoring.sample_trend(samples, hot_rows), monitoring.sample_trend(samples))
     same(monitoring.latest_errors(log, 5, hot_rows), monitoring.latest_errors(log, 5))
