@@ -123,7 +123,8 @@ def lookup(model: DataFrame, user_ids: list[str]) -> DataFrame:
     """
     if not 0 < len(user_ids) <= MAX_LOOKUP_KEYS:
         raise ValueError(f"between 1 and {MAX_LOOKUP_KEYS} users can be looked up at once")
-    keys = model.sparkSession.createDataFrame([(u,) for u in dict.fromkeys(user_ids)], "user_id string")
+    listed = F.array(*[F.lit(u) for u in dict.fromkeys(user_ids)])
+    keys = model.sparkSession.range(1).select(F.explode(listed).alias("user_id"))
     found = model.filter(F.col("user_id").isin(user_ids)).withColumn("known", F.lit(True))
     joined = keys.join(found, "user_id", "left")
     counters = list(ENGAGEMENT_COUNTERS.values())

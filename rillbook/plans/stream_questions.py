@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rillbook.functions.clock import as_of, span
 from rillbook.operators import state as s
-from rillbook.plans.ingest_questions import FORM2, ROUTED_SQL, UPDATES_SQL
+from rillbook.plans.ingest_questions import ACTION_SQL, FORM2, ROUTED_SQL, UPDATES_SQL
 from rillbook.plans.monitor_questions import ALERTS, SEQUENCE, SIX_HOURS_MS
 from rillbook.plans.registry import question
 from rillbook.plans.sqltext import BASE_VALID, TYPE_COUNTS
@@ -114,6 +114,21 @@ def restart(t):
     return out.groupBy((F.col("outcome") == "accepted").alias("is_accepted")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@question(
+    "a09_result_stream",
+    "stage_log",
+    f"""WITH r AS (SELECT *, {ACTION_SQL} AS action FROM stage_log)
+    SELECT seq, CASE WHEN ok THEN 'processed' ELSE 'failed' END AS stored_in,
+      CASE WHEN ok THEN 'SUCCESS' WHEN action LIKE 'RETRY%' AND attempt < 3 THEN 'RETRY' ELSE 'FAILED' END AS status FROM r""",
+)
+def result_stream(t):
+    stream, base = _stream(t, t.stage_log, "a09s")
+    jobs.finish(jobs.start_batches(stream, jobs.write_results(f"{base}/out"), f"{base}/checkpoint"))
+    schema = sinks.with_outcome(t.stage_log).schema
+    both = [read_batches(t.spark, f"{base}/out/{name}", schema).withColumn("stored_in", F.lit(name)) for name in ("processed", "failed")]
+    return both[0].unionByName(both[1]).select("seq", "stored_in", "status")
+
+
 # ----------------------------------------------------------------------- user state
 
 

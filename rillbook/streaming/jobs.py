@@ -17,6 +17,7 @@ from rillbook.operators import alerts, ingest
 from rillbook.operators.quality import base_valid
 from rillbook.operators.state import contact_feed
 from rillbook.schemas import ENGAGEMENT_COUNTERS
+from rillbook.sources.sinks import kafka_sink_options, with_outcome
 from rillbook.sources.storage import write_batch
 from rillbook.streaming import processors as proc
 
@@ -144,6 +145,26 @@ def write_by(path: str, label: str) -> Callable[[DataFrame, int], None]:
     return handler
 
 
+def write_results(path: str) -> Callable[[DataFrame, int], None]:
+    """Handler that stores processed rows in one table, failed and retried ones in another."""
+
+    def handler(batch: DataFrame, batch_id: int) -> None:
+        results = with_outcome(batch).persist()
+        ok = F.col("status") == "SUCCESS"
+        write_batch(results.filter(ok), f"{path}/processed", batch_id)
+        write_batch(results.filter(~ok), f"{path}/failed", batch_id)
+        results.unpersist()
+
+    return handler
+
+
+def start_topics(records: DataFrame, servers: str, checkpoint: str, trigger: dict = DRAIN) -> StreamingQuery:
+    """Send ``(topic, key, value)`` rows to a broker. A row without a topic is for the quarantine."""
+    rows = records.filter(F.col("topic").isNotNull()).select("topic", "key", "value")
+    writer = rows.writeStream.format("kafka").options(**kafka_sink_options(servers)).trigger(**trigger)
+    return writer.option("checkpointLocation", checkpoint).start()
+
+
 def write_updates(path: str) -> Callable[[DataFrame, int], None]:
     def handler(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, path, batch_id)

@@ -393,3 +393,12 @@ def test_unroutable_events_carry_a_reason(spark):
     df = events(spark, [("u", "EMAIL_OPEN", 1), ("u", "LOGIN", 1), (" ", "EMAIL_OPEN", 1)])
     got = [(r.topic, r.reason) for r in sinks.routed(df).collect()]
     assert got == [("email-events", None), (None, "no_topic"), (None, "invalid_event")]
+
+
+def test_dashboard_sections(spark, tables):
+    from rillbook.plans.dashboard import dashboard
+
+    parts = dashboard(tables.comm_events, tables.stage_log, tables.samples, tables.journal)
+    assert {n: len(df.take(30)) > 0 for n, df in parts.items()} == {n: True for n in parts}
+    stored = dashboard(tables.comm_events, tables.stage_log, tables.samples, tables.journal, state.user_type_counts(tables.comm_events))
+    assert stored["overview"].collect() == parts["overview"].collect()
