@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rillbook.functions.barrier import evaluated_once
-from rillbook.functions.text import epoch_ms_time, has_text, ladder, long_or_null, parts
+from rillbook.functions.text import epoch_ms_time, ladder, long_or_null, parts
 from rillbook.schemas import (
     ACTION_TYPES,
     EVENT_TYPES,

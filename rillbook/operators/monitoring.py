@@ -332,7 +332,7 @@ def errors_of_user(log: DataFrame, user_id: str) -> DataFrame:
 def latest_errors(log: DataFrame, per_stage: int = 100, hot_rows: int | None = None) -> DataFrame:
     """The newest errors every stage keeps."""
     return latest_per_key(
-        error_rows(log), ["stage"], [F.desc("ts"), F.desc("seq")], per_stage, micros(c("ts")), hot_rows
+        error_rows(log), ["stage"], [F.desc("ts"), F.desc("seq")], per_stage, micros(c("ts")), hot_rows, c("seq")
     )
 
 

@@ -4,7 +4,8 @@ A plain window sorts all rows of a key in one task. Where one user holds a third
 task never ends. The helpers here measure the keys first. Ordinary keys keep the plain window. A key
 above ``hot_rows`` is cut into consecutive ranges of its order column; each range is a task of its
 own, and what earlier ranges contribute (a maximum, a count, the last value) is carried over from one
-summary row per range.
+summary row per range. Ranges that are still too full, because many rows share a short time, are
+measured and cut again, rows of one single time by their row number.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ HOT_ROWS_CONF = "spark.rillbook.hotKeyRows"
 HOT_ROWS = 5_000_000
 #: At most this many keys are measured as hot. A key ranked below holds under 1/10000 of all rows.
 MAX_HOT_KEYS = 10_000
-#: Ranges per ``hot_rows`` rows, so that uneven times inside a hot key still give moderate tasks.
+#: Ranges per ``hot_rows`` rows, so that moderately uneven times need no second cut.
 OVERSPLIT = 8
+#: Each cut narrows a full range by its number of pieces; a few reach a single microsecond.
+MAX_CUTS = 6
 
 _BLK, _ALL = "_blk", "_all"
 
@@ -37,17 +40,20 @@ def hot_limit(df: DataFrame, hot_rows: int | None) -> int:
     return hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
 
 
-def _hot_keys(df: DataFrame, keys: list[str], pos: Column, limit: int) -> list:
-    """Keys with more than ``limit`` rows and the range of ``pos`` they cover, the largest first.
+def _hot_groups(df: DataFrame, by: list[str], pos: Column, tie: Column, limit: int) -> list:
+    """Groups with more than ``limit`` rows, the largest first, and the ranges they cover.
 
-    One map-side combined aggregate over the key and ``pos``; at most ``MAX_HOT_KEYS`` rows reach the
-    driver.
+    One map-side combined aggregate; at most ``MAX_HOT_KEYS`` rows reach the driver.
     """
     return (
-        df.select(*keys, pos.alias("_pos"))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("lo"), F.max("_pos").alias("hi"))
-        .filter((F.col("n") > limit) & F.col("lo").isNotNull())
+        df.select(*by, pos.alias("_pos"), tie.alias("_tie"))
+        .groupBy(*by)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("_pos").alias("lo"), F.max("_pos").alias("hi"),
+            F.min("_tie").alias("tie_lo"), F.max("_tie").alias("tie_hi"),
+        )
+        .filter(F.col("n") > limit)
         .orderBy(F.desc("n"))
         .limit(MAX_HOT_KEYS)
         .collect()
@@ -65,7 +71,7 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str
     cut a join whose other side is an aggregate on the same key. So the rows of measured hot keys meet
     a broadcast of those keys only, at most ``MAX_HOT_KEYS`` rows; the others are joined as usual.
     """
-    hot = _hot_keys(rows, keys, F.lit(0), hot_limit(rows, hot_rows))
+    hot = _hot_groups(rows, keys, F.lit(0), F.lit(0), hot_limit(rows, hot_rows))
     if not hot:
         return rows.join(per_key, keys, how)
     listed = rows.sparkSession.createDataFrame([tuple(h[k] for k in keys) for h in hot], ", ".join(_ddl(rows, keys)))
@@ -74,26 +80,53 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str
     return rows.join(F.broadcast(listed), keys, "left_anti").join(per_key, keys, how).unionByName(crowded)
 
 
-def split_hot(df: DataFrame, keys: list[str], pos: Column, hot_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Add ``_blk``, the range number inside a hot key, 0 for other keys; tell whether any key is hot.
+def split_hot(
+    df: DataFrame, keys: list[str], pos: Column, hot_rows: int | None = None, tie: Column | None = None
+) -> tuple[DataFrame, bool]:
+    """Add ``_blk``, the range a row of a hot key lies in (empty for other keys); tell if any key is hot.
 
-    ``pos`` is a BIGINT that never decreases in the wanted order.
+    ``pos`` and then ``tie`` are BIGINTs that never decrease in the wanted order. ``_blk`` is the
+    list of range numbers cut after cut, so ranges compare in the same order as their rows.
     """
-    limit = hot_limit(df, hot_rows)
-    hot = _hot_keys(df, keys, pos, limit)
+    limit, tie = hot_limit(df, hot_rows), F.lit(0).cast("bigint") if tie is None else tie
+    rows = df.withColumn(_BLK, F.array().cast("array<bigint>"))
+    hot = _hot_groups(df, keys, pos, tie, limit)
     if not hot:
-        return df.withColumn(_BLK, F.lit(0).cast("bigint")), False
-    rows = []
-    for h in hot:
-        ranges = max(2, -(-h["n"] // limit) * OVERSPLIT)
-        rows.append((*(h[k] for k in keys), h["lo"], max(1, (h["hi"] - h["lo"]) // ranges + 1)))
-    ddl = ", ".join([*_ddl(df, keys), "_lo BIGINT", "_width BIGINT"])
-    small = df.sparkSession.createDataFrame(rows, ddl)
+        return rows, False
+    rows = _cut(rows, keys, hot, pos, tie, limit)
+    for _ in range(MAX_CUTS):
+        full = _hot_groups(rows.filter(F.size(_BLK) > 0), [*keys, _BLK], pos, tie, limit)
+        full = [g for g in full if _extent(g)[1] is not None]
+        if not full:
+            break
+        rows = _cut(rows, [*keys, _BLK], full, pos, tie, limit)
+    return rows, True
+
+
+def _extent(group) -> tuple[bool, int | None, int]:
+    """Which column still spreads the rows of a group (the tie?), its lowest value and its length."""
+    if group["lo"] is not None and group["lo"] < group["hi"]:
+        return False, group["lo"], group["hi"] - group["lo"] + 1
+    if group["tie_lo"] is not None and group["tie_lo"] < group["tie_hi"]:
+        return True, group["tie_lo"], group["tie_hi"] - group["tie_lo"] + 1
+    return False, None, 1
+
+
+def _cut(rows: DataFrame, by: list[str], groups: list, pos: Column, tie: Column, limit: int) -> DataFrame:
+    listed = []
+    for g in groups:
+        by_tie, lo, length = _extent(g)
+        pieces = max(2, -(-g["n"] // limit) * OVERSPLIT)
+        listed.append((*(g[k] for k in by), by_tie, lo if lo is not None else 0, max(1, -(-length // pieces))))
+    ddl = ", ".join([*_ddl(rows, by), "_by_tie BOOLEAN", "_lo BIGINT", "_width BIGINT"])
     # Broadcast is bounded by MAX_HOT_KEYS rows.
-    out = df.join(F.broadcast(small), keys, "left")
-    inside = F.coalesce(F.floor((pos - F.col("_lo")) / F.col("_width")), F.lit(0)) + 1
-    blk = F.when(F.col("_lo").isNull(), F.lit(0)).otherwise(inside)
-    return out.withColumn(_BLK, blk.cast("bigint")).drop("_lo", "_width"), True
+    small = F.broadcast(rows.sparkSession.createDataFrame(listed, ddl))
+    piece = F.floor((F.when(F.col("_by_tie"), tie).otherwise(pos) - F.col("_lo")) / F.col("_width")).cast("bigint")
+    # Rows without a position come first in their key.
+    path = F.concat(_BLK, F.array(F.coalesce(piece, F.lit(-1).cast("bigint"))))
+    cols = rows.columns
+    out = rows.join(small, by, "left").withColumn("_path", F.when(F.col("_lo").isNull(), F.col(_BLK)).otherwise(path))
+    return out.select(*[c for c in cols if c != _BLK], F.col("_path").alias(_BLK))
 
 
 def running(
@@ -104,12 +137,13 @@ def running(
     values: list[Running],
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Add running values per key in ``order`` (a total order whose leading part is ``pos``)."""
+    """Add running values per key in ``order``: a time or number that ``pos`` expresses, then a BIGINT
+    that orders equal ones."""
     whole = not keys
     if whole:
         df, keys = df.withColumn(_ALL, F.lit(1)), [_ALL]
     cols = [c for c in df.columns if c != _ALL]
-    rows, split = split_hot(df, keys, pos, hot_rows)
+    rows, split = split_hot(df, keys, pos, hot_rows, order[1] if len(order) > 1 else None)
     if not split:
         w = W.partitionBy(*keys).orderBy(*order)
         out = rows.select(*cols, *[_local(v, w).alias(v.name) for v in values])
@@ -121,7 +155,7 @@ def running(
         *[_local(v, w).alias(f"_l_{v.name}") for v in values],
         F.row_number().over(w).alias("_rn"),
     )
-    summary = rows.filter(F.col(_BLK) > 0).groupBy(*keys, _BLK).agg(*[_block_value(v, order) for v in values])
+    summary = rows.filter(F.size(_BLK) > 0).groupBy(*keys, _BLK).agg(*[_block_value(v, order) for v in values])
     wb = W.partitionBy(*keys).orderBy(_BLK)
     carry = summary.select(*keys, _BLK, *[_carry(v, wb).alias(f"_c_{v.name}") for v in values])
     joined = local.join(carry, [*keys, _BLK], "left")
@@ -164,6 +198,7 @@ def latest_per_key(
     n: int,
     pos: Column,
     hot_rows: int | None = None,
+    tie: Column | None = None,
     rank: str = "rank_in_key",
 ) -> DataFrame:
     """The newest ``n`` rows of every key, numbered from 1.
@@ -172,7 +207,7 @@ def latest_per_key(
     range by range, so the last task of such a key sees ``n`` rows per range, not per input task.
     """
     cols = df.columns
-    rows, split = split_hot(df, keys, pos, hot_rows)
+    rows, split = split_hot(df, keys, pos, hot_rows, tie)
     if split:
         wb = W.partitionBy(*keys, _BLK).orderBy(*newest_first)
         rows = rows.withColumn("_r", F.row_number().over(wb)).filter(F.col("_r") <= n)

@@ -357,7 +357,7 @@ def next_sequence(t):
 )
 def latest_per_user(t):
     rows = t.comm_events.filter(q.base_valid()).select("seq", "user_id", "event_type", "ts")
-    return latest_per_key(rows, ["user_id"], [F.desc("ts"), F.desc("seq")], 100, micros(F.col("ts")))
+    return latest_per_key(rows, ["user_id"], [F.desc("ts"), F.desc("seq")], 100, micros(F.col("ts")), tie=F.col("seq"))
 
 
 @question(

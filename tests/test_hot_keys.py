@@ -6,7 +6,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rillbook.functions.clock import micros
 from rillbook.operators import alerts, journal, migration, monitoring, quality, sequence, state
 from rillbook.operators.ordered import Running, latest_per_key, running, split_hot
 from tools.oracle_check import compare, spark_frame
@@ -41,6 +40,18 @@ def test_hot_keys_are_cut(tables):
     assert not split
 
 
+def test_a_third_of_the_rows_at_one_time(spark):
+    """Too full ranges are cut again, in the end by row number; the order of ranges is that of rows."""
+    rows = [(i, "hot" if i % 3 else "u", 500_000 if i % 2 else i * 1_000) for i in range(1200)]
+    df = spark.createDataFrame(rows, "seq long, k string, pos long")
+    cut, split = split_hot(df, ["k"], F.col("pos"), 50, F.col("seq"))
+    assert split and cut.count() == 1200
+    assert cut.groupBy("k", "_blk").count().agg(F.max("count")).first()[0] <= 50
+    for k in ("hot", "u"):
+        mine = [tuple(r._blk) for r in cut.filter(F.col("k") == k).orderBy("pos", "seq").collect()]
+        assert mine == sorted(mine)
+
+
 def test_one_key_with_a_third_of_the_rows_and_ties(spark):
     rng = random.Random(3)
     rows = []
