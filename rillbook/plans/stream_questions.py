@@ -87,7 +87,7 @@ def bad_record_quarantine(t):
     return rows.groupBy("topic", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@question("i07_bounded_intake", "raw_messages", "SELECT 4 AS batches, count(*) AS messages FROM raw_messages")
+@question("i07_bounded_intake", "raw_messages", "SELECT CAST(4 AS BIGINT) AS batches, count(*) AS messages FROM raw_messages")
 def bounded_intake(t):
     path, base = _staged(t, t.raw_messages, "i07", files=8)
     stream = file_stream(t.spark, path, max_files=2)
