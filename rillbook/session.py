@@ -28,8 +28,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "rillbook") -> SparkSession:
-    """A single-JVM session for tests and benchmarks."""
+def local_session(
+    cores: str | int = "*", shuffle_partitions: int = 8, app: str = "rillbook", checkpoint_dir: str | None = None
+) -> SparkSession:
+    """A single-JVM session for tests and benchmarks; ``checkpoint_dir`` holds intermediate tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -38,6 +40,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

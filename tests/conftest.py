@@ -15,9 +15,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(8, shuffle_partitions=4, app="tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rillbook-tests-"))
+    s = local_session(8, shuffle_partitions=4, app="tests", checkpoint_dir=tempfile.mkdtemp(prefix="rillbook-tests-"))
     yield s
     s.stop()
 
