@@ -41,7 +41,7 @@ _LONGEST_WORD = max(map(len, COMMON_WORDS))
 _LEET = str.maketrans("430157@$!", "aeolstasi")
 #: Rows of the usual keyboard and of its number block.
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-_SHIFT = str.maketrans("~!@#$%^&*()_+{}|:\"<>?", "`1234567890-=[]\;',./")
+_SHIFT = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
 
 
 def _neighbours() -> dict[str, set[str]]:
