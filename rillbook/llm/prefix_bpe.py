@@ -129,6 +129,8 @@ class PrefixTable:
         An entry looks back over the longest token at most. Once so many entries in a row equal the old
         ones, all later ones do.
         """
+        if not 0 <= start <= stop <= len(self.data):
+            raise ValueError("the edit lies outside the data")
         old_last, shift = self.last, len(new) - (stop - start)
         self.data = self.data[:start] + new + self.data[stop:]
         self.last, same, end = old_last[: start + 1], 0, start
