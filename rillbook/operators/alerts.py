@@ -48,7 +48,7 @@ def alert_transitions(
     samples: DataFrame,
     cooldown: timedelta = COOLDOWN,
     fold_range: timedelta = FOLD_RANGE,
-    hot_rows: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """``(alert_type, seq, ts, value, event)`` for every alert raised or cleared.
 
@@ -63,12 +63,11 @@ def alert_transitions(
         readings(samples),
         ["alert_type"],
         [F.col("ts"), F.col("seq")],
-        micros(F.col("ts")),
         [
             Running("run", F.when(F.col("breach"), 0).otherwise(1).cast("bigint"), "sum", True),
             Running("after_breach", F.col("breach"), "lag"),
         ],
-        hot_rows,
+        ranges,
     )
     cleared = r.filter(~F.col("breach") & F.col("after_breach")).select(
         "alert_type", "seq", "ts", "value", F.lit("CLEARED").alias("event")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from rillbook.functions.clock import micros
 from rillbook.functions.text import ratio
 from rillbook.operators.ingest import user_journal, user_of
 from rillbook.operators.ordered import Running, join_per_key, running
@@ -40,17 +39,17 @@ def highest_sequence(journal: DataFrame) -> DataFrame:
     return journal.groupBy("persistence_id").agg(F.max("sequence_nr").alias("highest"))
 
 
-def assign_sequence(new: DataFrame, journal: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+def assign_sequence(new: DataFrame, journal: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
     """Number new rows per id after the highest number already taken."""
     rows = new.withColumn("persistence_id", persistence_id(F.col("user_id"))).drop("user_id")
     numbered = running(
-        rows, ["persistence_id"], [F.col("ts"), F.col("seq")], micros(F.col("ts")),
-        [Running("sequence_nr", F.lit(1).cast("bigint"), "sum", True)], hot_rows,
+        rows, ["persistence_id"], [F.col("ts"), F.col("seq")],
+        [Running("sequence_nr", F.lit(1).cast("bigint"), "sum", True)], ranges,
     )
     if journal is None:
         return numbered
     return (
-        join_per_key(numbered, highest_sequence(journal), ["persistence_id"], "left", hot_rows)
+        join_per_key(numbered, highest_sequence(journal), ["persistence_id"], "left")
         .withColumn("sequence_nr", F.col("sequence_nr") + F.coalesce("highest", F.lit(0)))
         .drop("highest")
     )
@@ -105,20 +104,20 @@ def stored_journal(spark: SparkSession, path: str) -> DataFrame | None:
 # -------------------------------------------------------- snapshots and replay
 
 
-def _with_last_snapshot(journal: DataFrame, hot_rows: int | None) -> DataFrame:
+def _with_last_snapshot(journal: DataFrame) -> DataFrame:
     last = highest_sequence(journal).select(
         "persistence_id", (F.floor(F.col("highest") / SNAPSHOT_EVERY) * SNAPSHOT_EVERY).alias("last_snapshot")
     )
-    return join_per_key(journal, last, ["persistence_id"], hot_rows=hot_rows)
+    return join_per_key(journal, last, ["persistence_id"])
 
 
-def snapshots(journal: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def snapshots(journal: DataFrame) -> DataFrame:
     """State by type at the newest snapshot points of every id, long form.
 
     An event enters the kept snapshots at one point and stays in all later ones, so the events are
     first counted by entry point (a few rows per id and type) and only those counts are spread.
     """
-    rows = _with_last_snapshot(journal, hot_rows)
+    rows = _with_last_snapshot(journal)
     first = F.ceil(F.col("sequence_nr") / SNAPSHOT_EVERY) * SNAPSHOT_EVERY
     oldest_kept = F.greatest(
         F.lit(SNAPSHOT_EVERY).cast("bigint"), F.col("last_snapshot") - SNAPSHOT_EVERY * (SNAPSHOTS_KEPT - 1)
@@ -137,9 +136,9 @@ def snapshots(journal: DataFrame, hot_rows: int | None = None) -> DataFrame:
     )
 
 
-def live_journal(journal: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def live_journal(journal: DataFrame) -> DataFrame:
     """Rows no snapshot covers; the others may be deleted."""
-    return _with_last_snapshot(journal, hot_rows).filter(F.col("sequence_nr") > F.col("last_snapshot")).select(*journal.columns)
+    return _with_last_snapshot(journal).filter(F.col("sequence_nr") > F.col("last_snapshot")).select(*journal.columns)
 
 
 def replay(journal: DataFrame) -> DataFrame:

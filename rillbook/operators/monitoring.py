@@ -329,16 +329,16 @@ def errors_of_user(log: DataFrame, user_id: str) -> DataFrame:
     return error_rows(log).filter(c("user_id") == user_id).select("seq", "stage", "event_type", "error_message", "ts")
 
 
-def latest_errors(log: DataFrame, per_stage: int = 100, hot_rows: int | None = None) -> DataFrame:
+def latest_errors(log: DataFrame, per_stage: int = 100) -> DataFrame:
     """The newest errors every stage keeps."""
     return latest_per_key(
-        error_rows(log), ["stage"], [F.desc("ts"), F.desc("seq")], per_stage, micros(c("ts")), hot_rows, c("seq")
+        error_rows(log), ["stage"], [F.desc("ts"), F.desc("seq")], per_stage
     )
 
 
-def recent_errors(log: DataFrame, limit: int = 50, hot_rows: int | None = None) -> DataFrame:
+def recent_errors(log: DataFrame, limit: int = 50) -> DataFrame:
     """An equal quota of newest errors per stage, merged, newest first."""
-    return latest_errors(log, limit // len(STAGES), hot_rows).drop("rank_in_key").orderBy(F.desc("ts"), F.desc("seq")).limit(limit)
+    return latest_errors(log, limit // len(STAGES)).drop("rank_in_key").orderBy(F.desc("ts"), F.desc("seq")).limit(limit)
 
 
 # ----------------------------------------------------- samples: trend, resources
@@ -354,13 +354,13 @@ def performance_level(score: Column) -> Column:
     return F.when(score.isNotNull(), bands)
 
 
-def sample_trend(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def sample_trend(samples: DataFrame, ranges: int | None = None) -> DataFrame:
     """Score of every sample and its direction against the one before."""
     rows = samples.select(
         "seq", "ts", "throughput", "cpu_usage", "memory_usage",
         performance_score(c("cpu_usage"), c("memory_usage"), c("throughput")).alias("score"),
     )
-    out = running(rows, [], [c("ts"), c("seq")], micros(c("ts")), [Running("previous_score", c("score"), "lag")], hot_rows)
+    out = running(rows, [], [c("ts"), c("seq")], [Running("previous_score", c("score"), "lag")], ranges)
     diff = c("score") - c("previous_score")
     trend = F.when(diff.isNotNull(), ladder([(F.abs(diff) < 5.0, "STABLE"), (diff > 0, "IMPROVING")], "DECLINING"))
     return out.select(

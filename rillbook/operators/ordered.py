@@ -1,11 +1,9 @@
-"""Running windows and latest-N that survive hot keys.
-
-A plain window sorts all rows of a key in one task. Where one user holds a third of the table that
-task never ends. The helpers here measure the keys first. Ordinary keys keep the plain window. A key
-above ``hot_rows`` is cut into consecutive ranges of its order column; each range is a task of its
-own, and what earlier ranges contribute (a maximum, a count, the last value) is carried over from one
-summary row per range. Ranges that are still too full, because many rows share a short time, are
-measured and cut again, rows of one single time by their row number.
+"""Running windows, latest-N and joins per key that survive hot keys, with one plan at all sizes.
+
+A plain window sorts all rows of a key in one task. Where one user holds a third of the table that task
+never ends. Here rows are dealt over ranges of (key, order); each range is a task of its own, and what
+earlier ranges of its first key contribute (a maximum, a count, the last value) comes from one summary
+row per range. A null key is a key like any other.
 """
 
 from __future__ import annotations
@@ -14,16 +12,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-HOT_ROWS_CONF = "spark.rillbook.hotKeyRows"
-HOT_ROWS = 5_000_000
-#: At most this many keys are measured as hot. A key ranked below holds under 1/10000 of all rows.
-MAX_HOT_KEYS = 10_000
-#: Ranges per ``hot_rows`` rows, so that moderately uneven times need no second cut.
-OVERSPLIT = 8
-#: Each cut narrows a full range by its number of pieces; a few reach a single microsecond.
-MAX_CUTS = 6
+from rillbook.sources.storage import fixed
 
-_BLK, _ALL = "_blk", "_all"
+#: First cut of latest-N: a key's rows are ranked in so many shares before the best of all shares are.
+SHARES = 64
+_PART = "_part"
 
 
 @dataclass(frozen=True)
@@ -36,129 +29,44 @@ class Running:
     inclusive: bool = False
 
 
-def hot_limit(df: DataFrame, hot_rows: int | None) -> int:
-    return hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows with a table of one row per key; null keys meet null keys.
 
+    The table is stored first: run-time skew handling cuts a hot key only where both sides are dealt
+    out for the join, which an aggregate on the same key is not.
+    """
+    mine = fixed(per_key.withColumnsRenamed({k: f"_k_{k}" for k in keys}), "per-key")
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_k_{k}`")) for k in keys]
+    return rows.join(mine, on, how).drop(*[f"_k_{k}" for k in keys])
 
-def _hot_groups(df: DataFrame, by: list[str], pos: Column, tie: Column, limit: int) -> list:
-    """Groups with more than ``limit`` rows, the largest first, and the ranges they cover.
 
-    One map-side combined aggregate; at most ``MAX_HOT_KEYS`` rows reach the driver.
-    """
-    return (
-        df.select(*by, pos.alias("_pos"), tie.alias("_tie"))
-        .groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("_pos").alias("lo"), F.max("_pos").alias("hi"),
-            F.min("_tie").alias("tie_lo"), F.max("_tie").alias("tie_hi"),
-        )
-        .filter(F.col("n") > limit)
-        .orderBy(F.desc("n"))
-        .limit(MAX_HOT_KEYS)
-        .collect()
-    )
-
-
-def _ddl(df: DataFrame, keys: list[str]) -> list[str]:
-    return [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
-
-
-def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner", hot_rows: int | None = None) -> DataFrame:
-    """Join rows with a table of one row per key.
-
-    A shuffle join would send all rows of a hot key to one task, and run-time skew handling does not
-    cut a join whose other side is an aggregate on the same key. So the rows of measured hot keys meet
-    a broadcast of those keys only, at most ``MAX_HOT_KEYS`` rows; the others are joined as usual.
-    """
-    hot = _hot_groups(rows, keys, F.lit(0), F.lit(0), hot_limit(rows, hot_rows))
-    if not hot:
-        return rows.join(per_key, keys, how)
-    listed = rows.sparkSession.createDataFrame([tuple(h[k] for k in keys) for h in hot], ", ".join(_ddl(rows, keys)))
-    few = per_key.join(F.broadcast(listed), keys, "left_semi")
-    crowded = rows.join(F.broadcast(listed), keys, "left_semi").join(F.broadcast(few), keys, how)
-    return rows.join(F.broadcast(listed), keys, "left_anti").join(per_key, keys, how).unionByName(crowded)
-
-
-def split_hot(
-    df: DataFrame, keys: list[str], pos: Column, hot_rows: int | None = None, tie: Column | None = None
-) -> tuple[DataFrame, bool]:
-    """Add ``_blk``, the range a row of a hot key lies in (empty for other keys); tell if any key is hot.
-
-    ``pos`` and then ``tie`` are BIGINTs that never decrease in the wanted order. ``_blk`` is the
-    list of range numbers cut after cut, so ranges compare in the same order as their rows.
+def in_ranges(df: DataFrame, keys: list[str], order: list[Column], ranges: int | None = None) -> DataFrame:
+    """``df`` dealt over ranges of (keys, order), with the range's number as ``_part``.
+
+    Stored, so that every later pass sees the same ranges. A boundary parts at most one key.
     """
-    limit, tie = hot_limit(df, hot_rows), F.lit(0).cast("bigint") if tie is None else tie
-    rows = df.withColumn(_BLK, F.array().cast("array<bigint>"))
-    hot = _hot_groups(df, keys, pos, tie, limit)
-    if not hot:
-        return rows, False
-    rows = _cut(rows, keys, hot, pos, tie, limit)
-    for _ in range(MAX_CUTS):
-        full = _hot_groups(rows.filter(F.size(_BLK) > 0), [*keys, _BLK], pos, tie, limit)
-        full = [g for g in full if _extent(g)[1] is not None]
-        if not full:
-            break
-        rows = _cut(rows, [*keys, _BLK], full, pos, tie, limit)
-    return rows, True
-
-
-def _extent(group) -> tuple[bool, int | None, int]:
-    """Which column still spreads the rows of a group (the tie?), its lowest value and its length."""
-    if group["lo"] is not None and group["lo"] < group["hi"]:
-        return False, group["lo"], group["hi"] - group["lo"] + 1
-    if group["tie_lo"] is not None and group["tie_lo"] < group["tie_hi"]:
-        return True, group["tie_lo"], group["tie_hi"] - group["tie_lo"] + 1
-    return False, None, 1
-
-
-def _cut(rows: DataFrame, by: list[str], groups: list, pos: Column, tie: Column, limit: int) -> DataFrame:
-    listed = []
-    for g in groups:
-        by_tie, lo, length = _extent(g)
-        pieces = max(2, -(-g["n"] // limit) * OVERSPLIT)
-        listed.append((*(g[k] for k in by), by_tie, lo if lo is not None else 0, max(1, -(-length // pieces))))
-    ddl = ", ".join([*_ddl(rows, by), "_by_tie BOOLEAN", "_lo BIGINT", "_width BIGINT"])
-    # Broadcast is bounded by MAX_HOT_KEYS rows.
-    small = F.broadcast(rows.sparkSession.createDataFrame(listed, ddl))
-    piece = F.floor((F.when(F.col("_by_tie"), tie).otherwise(pos) - F.col("_lo")) / F.col("_width")).cast("bigint")
-    # Rows without a position come first in their key.
-    path = F.concat(_BLK, F.array(F.coalesce(piece, F.lit(-1).cast("bigint"))))
-    cols = rows.columns
-    out = rows.join(small, by, "left").withColumn("_path", F.when(F.col("_lo").isNull(), F.col(_BLK)).otherwise(path))
-    return out.select(*[c for c in cols if c != _BLK], F.col("_path").alias(_BLK))
-
-
-def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    pos: Column,
-    values: list[Running],
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """Add running values per key in ``order``: a time or number that ``pos`` expresses, then a BIGINT
-    that orders equal ones."""
-    whole = not keys
-    if whole:
-        df, keys = df.withColumn(_ALL, F.lit(1)), [_ALL]
-    cols = [c for c in df.columns if c != _ALL]
-    rows, split = split_hot(df, keys, pos, hot_rows, order[1] if len(order) > 1 else None)
-    if not split:
-        w = W.partitionBy(*keys).orderBy(*order)
-        out = rows.select(*cols, *[_local(v, w).alias(v.name) for v in values])
-        return out
-
-    w = W.partitionBy(*keys, _BLK).orderBy(*order)
-    local = rows.select(
-        *rows.columns,
-        *[_local(v, w).alias(f"_l_{v.name}") for v in values],
-        F.row_number().over(w).alias("_rn"),
-    )
-    summary = rows.filter(F.size(_BLK) > 0).groupBy(*keys, _BLK).agg(*[_block_value(v, order) for v in values])
-    wb = W.partitionBy(*keys).orderBy(_BLK)
-    carry = summary.select(*keys, _BLK, *[_carry(v, wb).alias(f"_c_{v.name}") for v in values])
-    joined = local.join(carry, [*keys, _BLK], "left")
+    ways = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ways, *[F.col(f"`{k}`") for k in keys], *order)
+    return fixed(dealt.withColumn(_PART, F.spark_partition_id()), "ranges")
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], values: list[Running], ranges: int | None = None) -> DataFrame:
+    """Add running values per key in ascending ``order``; rows equal in it may come in any order."""
+    cols = df.columns
+    rows = in_ranges(df, keys, order, ranges)
+    w = W.partitionBy(*keys, _PART).orderBy(*order)
+    local = rows.select(*cols, _PART, *[_local(v, w).alias(f"_l_{v.name}") for v in values], F.row_number().over(w).alias("_rn"))
+    summary = rows.groupBy(*keys, _PART).agg(*[_block_value(v, order) for v in values])
+    wb = W.partitionBy(*keys).orderBy(_PART)
+    carry = summary.select(
+        *[F.col(f"`{k}`").alias(f"_k_{k}") for k in keys],
+        F.col(_PART).alias("_k_part"),
+        *[_carry(v, wb).alias(f"_c_{v.name}") for v in values],
+        F.row_number().over(wb).alias("_nth"),
+    ).filter("_nth > 1")
+    # A key's second and later ranges start at a boundary: fewer rows than ranges, so broadcasting is safe.
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_k_{k}`")) for k in keys] + [F.col(_PART) == F.col("_k_part")]
+    joined = local.join(F.broadcast(carry), on, "left")
     return joined.select(*cols, *[_combine(v).alias(v.name) for v in values])
 
 
@@ -191,25 +99,14 @@ def _combine(v: Running) -> Column:
     return F.greatest(local, carry)
 
 
-def latest_per_key(
-    df: DataFrame,
-    keys: list[str],
-    newest_first: list[Column],
-    n: int,
-    pos: Column,
-    hot_rows: int | None = None,
-    tie: Column | None = None,
-    rank: str = "rank_in_key",
-) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: list[str], newest_first: list[Column], n: int, rank: str = "rank_in_key") -> DataFrame:
     """The newest ``n`` rows of every key, numbered from 1.
 
-    Spark keeps only ``n`` rows per key and task before the shuffle. Hot keys are first cut down
-    range by range, so the last task of such a key sees ``n`` rows per range, not per input task.
+    Rows are first ranked within shares of each key, so the last task of a hot key sees ``n`` rows per
+    share. No job runs before the result is asked for.
     """
     cols = df.columns
-    rows, split = split_hot(df, keys, pos, hot_rows, tie)
-    if split:
-        wb = W.partitionBy(*keys, _BLK).orderBy(*newest_first)
-        rows = rows.withColumn("_r", F.row_number().over(wb)).filter(F.col("_r") <= n)
+    shared = df.withColumn("_share", F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)))
+    few = shared.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_share").orderBy(*newest_first))).filter(F.col("_r") <= n)
     w = W.partitionBy(*keys).orderBy(*newest_first)
-    return rows.select(*cols, F.row_number().over(w).cast("bigint").alias(rank)).filter(F.col(rank) <= n)
+    return few.select(*cols, F.row_number().over(w).cast("bigint").alias(rank)).filter(F.col(rank) <= n)

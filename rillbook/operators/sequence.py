@@ -13,7 +13,7 @@ def late_label(late_ms: Column, limit_ms: int) -> Column:
     return F.when(late_ms > limit_ms, "INVALID").otherwise(F.lit("WARNING"))
 
 
-def sequence_check(events: DataFrame, max_late_ms: int = MAX_LATE_MS, hot_rows: int | None = None) -> DataFrame:
+def sequence_check(events: DataFrame, max_late_ms: int = MAX_LATE_MS, ranges: int | None = None) -> DataFrame:
     """Label every event by its lateness against the newest earlier arrival of its user.
 
     Late rows are older than the running maximum, so they never move it. Rows without user or time
@@ -22,8 +22,8 @@ def sequence_check(events: DataFrame, max_late_ms: int = MAX_LATE_MS, hot_rows:
     usable = F.col("user_id").isNotNull() & F.col("ts_us").isNotNull()
     rows = events.select("seq", "event_id", "user_id", "event_type", "ts_us", "arrival_us")
     checked = running(
-        rows.filter(usable), ["user_id"], [F.col("arrival_us"), F.col("seq")], F.col("arrival_us"),
-        [Running("last_us", F.col("ts_us"), "max")], hot_rows,
+        rows.filter(usable), ["user_id"], [F.col("arrival_us"), F.col("seq")],
+        [Running("last_us", F.col("ts_us"), "max")], ranges,
     )
     late = F.col("last_us") > F.col("ts_us")
     late_ms = F.when(late, F.floor((F.col("last_us") - F.col("ts_us")) / 1000)).cast("bigint")

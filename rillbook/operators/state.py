@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rillbook.functions.clock import as_of as clock, micros, span
+from rillbook.functions.clock import as_of as clock, span
 from rillbook.functions.text import ratio
 from rillbook.operators.ordered import Running, running
 from rillbook.operators.quality import base_valid
@@ -151,30 +151,30 @@ def recent_stats(events: DataFrame, as_of: Column, latest: int = 100) -> DataFra
     )
 
 
-def count_changes(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Previous and new count per user and type, one row per event."""
-    rows = countable(events).filter(F.col("ts").isNotNull()).select("seq", "user_id", "event_type", "ts")
+def count_changes(events: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Previous and new count per user and type, one row per event; events without a time come first."""
+    rows = countable(events).select("seq", "user_id", "event_type", "ts")
     out = running(
-        rows, ["user_id", "event_type"], [F.col("ts"), F.col("seq")], micros(F.col("ts")),
-        [Running("previous_count", F.lit(1).cast("bigint"), "sum")], hot_rows,
+        rows, ["user_id", "event_type"], [F.col("ts"), F.col("seq")],
+        [Running("previous_count", F.lit(1).cast("bigint"), "sum")], ranges,
     )
     return out.withColumn("new_count", F.col("previous_count") + 1)
 
 
-def update_feed(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def update_feed(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """One aggregation update per engagement event: channel counts after it."""
     t = F.col("event_type")
     rows = events.filter(base_valid() & t.isin(list(ENGAGEMENT_COUNTERS))).select("seq", "event_id", "user_id", "event_type", "ts")
     def one(prefix: str) -> Column:
         return t.startswith(prefix).cast("bigint")
     out = running(
-        rows, ["user_id"], [F.col("ts"), F.col("seq")], micros(F.col("ts")),
+        rows, ["user_id"], [F.col("ts"), F.col("seq")],
         [
             Running("email_count", one("EMAIL_"), "sum", True),
             Running("sms_count", one("SMS_"), "sum", True),
             Running("call_count", one("CALL_"), "sum", True),
         ],
-        hot_rows,
+        ranges,
     )
     return out.select(
         "user_id", "email_count", "sms_count", "call_count",

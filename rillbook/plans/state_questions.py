@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillbook.functions.clock import as_of, micros
+from rillbook.functions.clock import as_of
 from rillbook.operators import activity as a, ingest, journal as j, migration as m, profiles as p, quality as q, state as s
 from rillbook.operators.ordered import latest_per_key
 from rillbook.plans.ingest_questions import INSERTABLE_SQL, TOPS, _incoming
@@ -198,7 +198,7 @@ def recent_stats(t):
     "c25_count_changes",
     "comm_events",
     """SELECT seq, user_id, event_type, ts, row_number() OVER w - 1 AS previous_count, row_number() OVER w AS new_count FROM comm_events
-    WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, seq)""",
+    WHERE user_id IS NOT NULL AND event_type IS NOT NULL WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts NULLS FIRST, seq)""",
 )
 def count_changes(t):
     return s.count_changes(t.comm_events)
@@ -357,7 +357,7 @@ def next_sequence(t):
 )
 def latest_per_user(t):
     rows = t.comm_events.filter(q.base_valid()).select("seq", "user_id", "event_type", "ts")
-    return latest_per_key(rows, ["user_id"], [F.desc("ts"), F.desc("seq")], 100, micros(F.col("ts")), tie=F.col("seq"))
+    return latest_per_key(rows, ["user_id"], [F.desc("ts"), F.desc("seq")], 100)
 
 
 @question(
@@ -368,7 +368,7 @@ def latest_per_user(t):
 )
 def latest_snapshots(t):
     points = t.journal.filter(F.col("sequence_nr") % 50 == 0).select("persistence_id", F.col("sequence_nr").alias("snapshot_nr"))
-    return latest_per_key(points, ["persistence_id"], [F.desc("snapshot_nr")], 5, F.col("snapshot_nr"))
+    return latest_per_key(points, ["persistence_id"], [F.desc("snapshot_nr")], 5)
 
 
 # ---------------------------------------------------------------------- top and page

@@ -22,6 +22,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/rillbook/{name}-{uuid.uuid4().hex}"
 
 
+def fixed(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh folder and read it back: later passes see the same rows and do not compute them again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replace_table(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as the new content of a Parquet table and read it back."""
     df.write.mode("overwrite").parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillbook.operators import alerts, journal, migration, monitoring, quality, sequence, state
-from rillbook.operators.ordered import Running, latest_per_key, running, split_hot
+from rillbook.operators.ordered import Running, in_ranges, join_per_key, latest_per_key, running
 from tools.oracle_check import compare, spark_frame
 
 
@@ -15,41 +15,44 @@ def same(a, b):
     assert compare(spark_frame(a), spark_frame(b)) == ""
 
 
-@pytest.mark.parametrize("hot_rows", [7, 40])
-def test_jobs_agree(tables, hot_rows):
-    ev, mig, log, samples = tables.comm_events, tables.migrated_events, tables.stage_log, tables.samples
-    same(sequence.sequence_check(ev, 21_600_000, hot_rows), sequence.sequence_check(ev, 21_600_000))
-    same(state.count_changes(ev, hot_rows), state.count_changes(ev))
-    same(state.update_feed(ev, hot_rows), state.update_feed(ev))
+@pytest.mark.parametrize("ranges", [1, 40])
+def test_jobs_agree(tables, ranges):
+    ev, mig, samples = tables.comm_events, tables.migrated_events, tables.samples
+    same(sequence.sequence_check(ev, 21_600_000, ranges), sequence.sequence_check(ev, 21_600_000))
+    same(state.count_changes(ev, ranges), state.count_changes(ev))
+    same(state.update_feed(ev, ranges), state.update_feed(ev))
     new = ev.filter(quality.base_valid()).select("seq", "user_id", "ts")
-    same(journal.assign_sequence(new, tables.journal, hot_rows), journal.assign_sequence(new, tables.journal))
-    jr = tables.journal
-    same(journal.snapshots(jr, hot_rows), journal.snapshots(jr))
-    same(journal.live_journal(jr, hot_rows), journal.live_journal(jr))
-    same(migration.out_of_order(mig, hot_rows), migration.out_of_order(mig))
-    same(monitoring.sample_trend(samples, hot_rows), monitoring.sample_trend(samples))
-    same(monitoring.latest_errors(log, 5, hot_rows), monitoring.latest_errors(log, 5))
-
-
-def test_hot_keys_are_cut(tables):
-    rows, split = split_hot(tables.comm_events, ["user_id"], F.col("arrival_us"), 20)
-    assert split
-    per = rows.groupBy("user_id", "_blk").count()
-    assert per.agg(F.max("count")).first()[0] <= 20
-    _, split = split_hot(tables.comm_events, ["user_id"], F.col("arrival_us"))
-    assert not split
-
-
-def test_a_third_of_the_rows_at_one_time(spark):
-    """Too full ranges are cut again, in the end by row number; the order of ranges is that of rows."""
-    rows = [(i, "hot" if i % 3 else "u", 500_000 if i % 2 else i * 1_000) for i in range(1200)]
+    same(journal.assign_sequence(new, tables.journal, ranges), journal.assign_sequence(new, tables.journal))
+    same(migration.out_of_order(mig, ranges), migration.out_of_order(mig))
+    same(monitoring.sample_trend(samples, ranges), monitoring.sample_trend(samples))
+
+
+def test_last_counts_are_the_totals(tables):
+    """Every countable event is counted, those without a time too."""
+    changes = state.count_changes(tables.comm_events).groupBy("user_id", "event_type").agg(F.max("new_count").alias("n"))
+    totals = state.countable(tables.comm_events).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    same(changes, totals)
+
+
+@pytest.mark.parametrize("key", ["hot", None])
+def test_a_key_with_most_rows_is_cut(spark, key):
+    """Rows of one single time and a null key are cut by the row number."""
+    rows = [(i, key if i % 3 else "u", 500_000 if i % 2 else i * 1_000) for i in range(1200)]
     df = spark.createDataFrame(rows, "seq long, k string, pos long")
-    cut, split = split_hot(df, ["k"], F.col("pos"), 50, F.col("seq"))
-    assert split and cut.count() == 1200
-    assert cut.groupBy("k", "_blk").count().agg(F.max("count")).first()[0] <= 50
-    for k in ("hot", "u"):
-        mine = [tuple(r._blk) for r in cut.filter(F.col("k") == k).orderBy("pos", "seq").collect()]
+    cut = in_ranges(df, ["k"], [F.col("pos"), F.col("seq")], 24)
+    assert cut.count() == 1200
+    assert cut.groupBy("k", "_part").count().agg(F.max("count")).first()[0] <= 150
+    for k in (key, "u"):
+        mine = [r._part for r in cut.filter(F.col("k").eqNullSafe(F.lit(k))).orderBy("pos", "seq").collect()]
         assert mine == sorted(mine)
+    n = running(df, ["k"], [F.col("pos"), F.col("seq")], [Running("n", F.lit(1).cast("bigint"), "sum", True)], 24)
+    assert sorted(r.n for r in n.filter(F.col("k").eqNullSafe(F.lit(key))).collect()) == list(range(1, 801))
+
+
+def test_join_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "seq long, k string")
+    per = spark.createDataFrame([(None, 7), ("a", 8)], "k string, v long")
+    assert sorted((r.seq, r.v) for r in join_per_key(rows, per, ["k"]).collect()) == [(1, 7), (2, 8), (3, 7)]
 
 
 def test_one_key_with_a_third_of_the_rows_and_ties(spark):
@@ -65,7 +68,7 @@ def test_one_key_with_a_third_of_the_rows_and_ties(spark):
         Running("top", F.col("v"), "max"),
         Running("prev", F.col("v"), "lag"),
     ]
-    got = {r.seq: r for r in running(df, ["user_id"], [F.col("pos"), F.col("seq")], F.col("pos"), values, 25).collect()}
+    got = {r.seq: r for r in running(df, ["user_id"], [F.col("pos"), F.col("seq")], values, 25).collect()}
     by_user = {}
     for seq, user, pos, v in sorted(rows, key=lambda r: (r[2], r[0])):
         seen = by_user.setdefault(user, [])
@@ -77,11 +80,13 @@ def test_one_key_with_a_third_of_the_rows_and_ties(spark):
         seen.append(v)
 
 
-def test_latest_per_key_cut_by_range(spark):
+def test_latest_per_key(spark):
     rows = [(i, "hot" if i % 2 else "cold", (i * 37) % 500) for i in range(400)]
     df = spark.createDataFrame(rows, "seq long, k string, pos long")
-    order = [F.desc("pos"), F.desc("seq")]
-    same(latest_per_key(df, ["k"], order, 9, F.col("pos"), 30), latest_per_key(df, ["k"], order, 9, F.col("pos")))
+    got = latest_per_key(df, ["k"], [F.desc("pos"), F.desc("seq")], 9).collect()
+    for k in ("hot", "cold"):
+        want = sorted(((p, s) for s, key, p in rows if key == k), reverse=True)[:9]
+        assert [(r.pos, r.seq) for r in sorted(got, key=lambda r: r.rank_in_key) if r.k == k] == want
 
 
 def simulate(rows, cooldown_us):
@@ -113,7 +118,7 @@ def test_alerts_over_many_ranges(spark, seed):
     df = spark.createDataFrame(rows, "seq long, ts timestamp_ntz, memory_usage double")
     want = simulate([(int((ts - base).total_seconds()) * 1_000_000, s, v) for s, ts, v in rows], 300_000_000)
     for fold_minutes, hot in ((5, 50), (17, None), (1440, None)):
-        got = alerts.alert_transitions(df, fold_range=dt.timedelta(minutes=fold_minutes), hot_rows=hot)
+        got = alerts.alert_transitions(df, fold_range=dt.timedelta(minutes=fold_minutes), ranges=hot)
         assert sorted((r.seq, r.event) for r in got.collect()) == want
 
 
