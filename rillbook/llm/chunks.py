@@ -29,7 +29,7 @@ class ChunkMemo(dict):
     anew, and chunks over ``longest`` characters are not kept; results do not depend on either.
     """
 
-    def __init__(self, encode_one: Callable[[str], bytes], limit: int = 700_000, longest: int = 64):
+    def __init__(self, encode_one: Callable[[str], bytes], limit: int = 250_000, longest: int = 64):
         super().__init__()
         self.encode_one, self.limit, self.longest = encode_one, limit, longest
 

@@ -40,17 +40,6 @@ def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, most: int
     return best
 
 
-class _WordHashes(dict):
-    """Stable 64-bit hashes of words; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-
-_HASHES = _WordHashes()
 _MULTIPLY, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)
 
 
@@ -59,7 +48,7 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").split()
     if not words:
         return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(n, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     for i in range(size):

@@ -62,7 +62,7 @@ class Vocabulary:
 
     def together(self, pair: int) -> bool:
         """Does merging leave the border between two tokens alone? The pair is ``left << 32 | right``."""
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 300_000:
             self.pairs.clear()
         known = self.pairs[pair] = self._border_holds(pair >> 32, pair & 0xFFFFFFFF)
         return known
@@ -157,7 +157,7 @@ class PrefixTable:
 class Encoder:
     """Texts to ids: each match of the pattern by its own table, whole-piece tokens as they are."""
 
-    def __init__(self, vocabulary: Vocabulary, pieces: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, pieces: int = 120_000):
         self.vocabulary, self.most = vocabulary, pieces
         self._pieces: dict[str, bytes] = {}
         self._chunks = ChunkMemo(self._chunk)
