@@ -223,8 +223,8 @@ def linked_sets(sketched: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     )
 
 
-def joined(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """(row, rid, n_grams, class, class_id, n_copies, n_links, n_text_links) per document.
+def joined(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """The stored rows (row, rid, sketch), and per rid (doc_id, n_grams, class, class_id, n_copies, n_links, n_text_links).
 
     ``class`` is null for documents without words: they take no part. ``class_id`` is the smallest id of
     the class, or the own id without words. ``n_links`` counts the other documents at or above the
@@ -239,35 +239,34 @@ def joined(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, reca
     sets = stored(sets, "ngram-sets")
     first = sets.groupBy("class").agg(F.min("first_id").alias("class_first"))
     sets = stored(sets.join(first, "class"), "ngram-classed")
-    mine = table.select("row", "rid", "sketch.n_grams", "sketch.h1", "sketch.h2")
+    mine = table.select("rid", "row.doc_id", "sketch.n_grams", "sketch.h1", "sketch.h2")
     worded = mine.filter("n_grams > 0").join(sets, ["h1", "h2"])
     empty = mine.filter("n_grams = 0")
     links = F.col("linked") + F.col("n_copies") - 1
-    return worded.select(
-        "row", "rid", "n_grams", "class", F.col("class_first").alias("class_id"), "n_copies",
+    found = worded.select(
+        "rid", "doc_id", "n_grams", "class", F.col("class_first").alias("class_id"), "n_copies",
         links.alias("n_links"), F.col("linked_sets").alias("n_text_links"),
     ).union(
         empty.select(
-            "row", "rid", "n_grams", F.lit(None).cast("bigint"), F.col("row.doc_id"), F.lit(1).cast("bigint"),
+            "rid", "doc_id", "n_grams", F.lit(None).cast("bigint"), "doc_id", F.lit(1).cast("bigint"),
             F.lit(0).cast("bigint"), F.lit(0).cast("bigint"),
         )
     )
+    return table, found
 
 
 def join_report(docs: DataFrame, **how) -> DataFrame:
     """Class and number of links of every document."""
-    return joined(docs.select("doc_id", "text"), **how).select(
-        F.col("row.doc_id").alias("doc_id"), "class_id", "n_copies", "n_links", "n_text_links", "n_grams"
-    )
+    _, found = joined(docs.select("doc_id", "text"), **how)
+    return found.select("doc_id", "class_id", "n_copies", "n_links", "n_text_links", "n_grams")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """One document of each class, that with the smallest id, with all columns; documents without words stay.
 
-    Of rows with one id, or of a class without ids, one stays.
+    Of rows with one id, or of a class without ids, one stays. The texts are dealt out once.
     """
-    rows = joined(docs, **how)
-    first = rows.filter(F.col("class").isNull() | F.col("row.doc_id").eqNullSafe(F.col("class_id")))
-    keep = first.groupBy(F.coalesce("class", -1 - F.col("rid")).alias("class")).agg(F.min("rid").alias("keep")).select("keep")
-    kept = first.join(keep, F.col("rid") == F.col("keep"), "left_semi")
-    return unpacked(kept)
+    table, found = joined(docs, **how)
+    first = found.filter(F.col("class").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id")))
+    keep = first.groupBy(F.coalesce("class", -1 - F.col("rid")).alias("class")).agg(F.min("rid").alias("rid")).select("rid")
+    return unpacked(table.join(stored(keep, "ngram-kept"), "rid", "left_semi"))
