@@ -29,9 +29,12 @@ class ChunkMemo(dict):
     anew, and chunks over ``longest`` characters are not kept; results do not depend on either.
     """
 
-    def __init__(self, encode_one: Callable[[str], bytes], limit: int = 250_000, longest: int = 64):
+    def __init__(
+        self, encode_one: Callable[[str], bytes], limit: int = 250_000, longest: int = 64,
+        encode_words: Callable[[list[str]], list[bytes]] | None = None,
+    ):
         super().__init__()
-        self.encode_one, self.limit, self.longest = encode_one, limit, longest
+        self.encode_one, self.limit, self.longest, self.encode_words = encode_one, limit, longest, encode_words
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk[-1:] in _STOPS and chunk[:-1].isalpha():
@@ -49,6 +52,17 @@ class ChunkMemo(dict):
         first, *rest = chunk_text(text)
         return self.encode_one(first) + b"".join(map(self.__getitem__, rest))
 
+    def learn(self, texts: list[str]) -> None:
+        """Encode the unknown words of letters only of these texts together, which costs less than one by one."""
+        if len(self) > self.limit:
+            self.clear()
+        new = set().union(*(t.split(" ") for t in texts)).difference(self)
+        words = {w[:-1] if w[-1:] in _STOPS else w for w in new}
+        words = [w for w in words if len(w) <= self.longest and w.isalpha() and w not in self]
+        for i in range(0, len(words), 2_000):
+            part = words[i : i + 2_000]
+            self.update(zip(part, self.encode_words(part)))
+
 
 def unpack(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, "<u4")

@@ -1,8 +1,8 @@
 """Token sequences in length-delimited binary record files with masked checksums and an offset index.
 
 A record is: length (8 bytes), masked checksum of these (4), payload, masked checksum of the payload (4),
-all little-endian. The payload is the row's number within the file set's order: id flag (1 byte), id (8)
-and the token ids (4 each). An index file beside each record file holds the offset of every record, so
+all little-endian. The payload is flags (1 byte: whether there is an id, whether token ids are wide), the
+id (8) and the token ids (4 bytes each if any is over 65535, else 2). An index file beside each record file holds the offset of every record, so
 that a reader can take records in any order. Files hold consecutive ranges of ids.
 """
 
@@ -64,6 +64,12 @@ def record(data: bytes, offset: int) -> memoryview:
     return next(payloads(data[offset : offset + HEAD_BYTES + length + 4]))[1]
 
 
+def sequence(payload: memoryview) -> tuple[int | None, np.ndarray]:
+    """(doc_id, token ids) of a record."""
+    flags, doc_id = struct.unpack_from(ID, payload)
+    return doc_id if flags & 1 else None, np.frombuffer(payload[ID_BYTES:], "<u4" if flags & 2 else "<u2").astype("<u4")
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> ChunkMemo:
     """One per Python worker. Only a tokenizer that splits like the chunks may be used: byte-level, by pattern."""
@@ -77,7 +83,12 @@ def tokenizer(path: str) -> ChunkMemo:
         ids = one.encode(chunk, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    return ChunkMemo(encode)
+    def words(part: list[str]) -> list[bytes]:
+        both = one.encode(" " + " ".join(part), add_special_tokens=False)
+        ids, ends = np.array(both.ids, "<u4").tobytes(), np.searchsorted(both.word_ids, np.arange(len(part) + 1)) * 4
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    return ChunkMemo(encode, limit=900_000, encode_words=words)
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
@@ -121,14 +132,18 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int, file_byt
             frames, offsets, size, ids = [], [], 0, 0
 
         for batch in batches:
-            for known, doc_id, text in zip(batch.known, batch.doc_id, batch.text):
-                packed = memo.encode(text) + end
-                framed = frame(struct.pack(ID, known, doc_id) + packed)
-                if frames and size + len(framed) > file_bytes:
-                    close()
-                offsets.append(size)
-                frames.append(framed)
-                size, ids = size + len(framed), ids + len(packed) // 4
+            for at in range(0, len(batch), 256):
+                part_rows = batch.iloc[at : at + 256]
+                memo.learn(part_rows.text.tolist())
+                for known, doc_id, text in zip(part_rows.known, part_rows.doc_id, part_rows.text):
+                    packed = np.frombuffer(memo.encode(text) + end, "<u4")
+                    wide = int(packed.max()) > 0xFFFF
+                    framed = frame(struct.pack(ID, known | wide << 1, doc_id) + packed.astype("<u4" if wide else "<u2").tobytes())
+                    if frames and size + len(framed) > file_bytes:
+                        close()
+                    offsets.append(size)
+                    frames.append(framed)
+                    size, ids = size + len(framed), ids + len(packed)
         if frames:
             close()
         yield pd.DataFrame(done, columns=[c.split()[0] for c in _WRITTEN.split(", ")])
@@ -155,10 +170,9 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
             for name, data in zip(batch.path, batch.content):
                 rows, before = [], 0
                 for place, (_, payload) in enumerate(payloads(data)):
-                    known, doc_id = struct.unpack_from(ID, payload)
-                    ids = payload[ID_BYTES :]
-                    rows.append((name.rpartition("/")[2], place, doc_id if known else None, before, len(ids) // 4, zlib.crc32(ids)))
-                    before += len(ids) // 4
+                    doc_id, ids = sequence(payload)
+                    rows.append((name.rpartition("/")[2], place, doc_id, before, len(ids), zlib.crc32(ids.tobytes())))
+                    before += len(ids)
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")])
                 yield out.astype({"doc_id": "Int64"})
 
