@@ -80,7 +80,7 @@ def batch_outcome(log: DataFrame) -> DataFrame:
     ok, all_ = F.count_if(c("ok")), F.count(F.lit(1))
     out = log.agg(all_.alias("total_events"), ok.alias("success_count"), (all_ - ok).alias("error_count"))
     return out.withColumn("all_ok", c("error_count") == 0).withColumn(
-        "message", F.concat(F.lit("Batch processed: "), c("success_count"), F.lit(" success, "), c("error_count"), F.lit(" errors"))
+        "message", F.concat(c("success_count"), F.lit(" passed and "), c("error_count"), F.lit(" did not"))
     )
 
 
@@ -265,7 +265,7 @@ def stage_flow(log: DataFrame, as_of: Column, period: timedelta = timedelta(minu
         }
     )
     line = F.format_string(
-        "Flow: %s, Speed: %s (%.1f%% end-to-end, %dms total)",
+        "%s flow at %s speed: %.1f%% arrive, %d ms in all",
         c("flow_efficiency"), c("processing_speed"), e2e, F.floor(total).cast("bigint"),
     )
     return out.withColumn("flow_summary", line).drop(*[f"{s}_ms_sum" for s in STAGES])
@@ -446,7 +446,7 @@ def performance_summary(log: DataFrame, samples: DataFrame, as_of: Column, perio
     return out.withColumns(
         {
             "is_healthy": ok,
-            "status": F.when(ok, "System performing well").otherwise("Performance issues detected"),
+            "status": F.when(ok, "all measures in bounds").otherwise("some measures out of bounds"),
         }
     )
 

@@ -165,8 +165,8 @@ errors AS (SELECT id, user_id, ts, CASE WHEN status = 'SKIPPED' THEN 'TRANSFORMA
 @question(
     "a11_error_export",
     "legacy_events migrated_events",
-    "WITH " + RESULTS + """SELECT 'Time: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || ' | Type: ' || error_type || ' | ID: ' || id || ' | User: ' || user_id
-    || ' | Message: ' || message || ' | Context: ' || context AS value FROM errors""",
+    "WITH " + RESULTS + """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || ' ' || error_type || ' id=' || id || ' user=' || user_id
+    || ': ' || message || ' [' || context || ']' AS value FROM errors""",
 )
 def error_export(t):
     path = scratch(t.spark, "a11")

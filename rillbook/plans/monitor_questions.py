@@ -135,7 +135,7 @@ f3 AS (SELECT *, CASE WHEN end_to_end_pct >= 95 THEN 'Excellent' WHEN end_to_end
   ELSE 'Critical' END AS flow_efficiency,
   CASE WHEN total_ms <= 100 THEN 'Very Fast' WHEN total_ms <= 500 THEN 'Fast' WHEN total_ms <= 1000 THEN 'Moderate' WHEN total_ms <= 2000 THEN 'Slow' ELSE 'Very Slow' END AS processing_speed,
   CASE WHEN total_ms > 0 THEN (source_events * 1000.0::DOUBLE) / total_ms ELSE 0.0::DOUBLE END AS events_per_second FROM f2)
-SELECT *, 'Flow: ' || flow_efficiency || ', Speed: ' || processing_speed || ' (' || printf('%.1f', end_to_end_pct) || '% end-to-end, ' || CAST(floor(total_ms) AS BIGINT) || 'ms total)' AS flow_summary
+SELECT *, flow_efficiency || ' flow at ' || processing_speed || ' speed: ' || printf('%.1f', end_to_end_pct) || '% arrive, ' || CAST(floor(total_ms) AS BIGINT) || ' ms in all' AS flow_summary
 FROM f3"""
 
 
@@ -220,7 +220,7 @@ def recent_errors(t):
     "c24_batch_outcome",
     "stage_log",
     """SELECT count(*) AS total_events, count(*) FILTER (ok) AS success_count, count(*) FILTER (NOT ok) AS error_count, count(*) FILTER (NOT ok) = 0 AS all_ok,
-    'Batch processed: ' || (count(*) FILTER (ok)) || ' success, ' || (count(*) FILTER (NOT ok)) || ' errors' AS message FROM stage_log""",
+    (count(*) FILTER (ok)) || ' passed and ' || (count(*) FILTER (NOT ok)) || ' did not' AS message FROM stage_log""",
 )
 def batch_outcome(t):
     return mon.batch_outcome(t.stage_log)
@@ -381,7 +381,7 @@ def _summary_sql(minutes: int) -> str:
     o AS (SELECT tp.events_per_second, tp.peak_throughput, tp.is_healthy AS throughput_healthy, lat.average_ms, lat.is_healthy AS latency_healthy, newest.cpu_usage, newest.memory_usage,
       newest.ok AS resources_healthy FROM tp, lat, newest)
     SELECT *, throughput_healthy AND latency_healthy AND resources_healthy AS is_healthy,
-      CASE WHEN throughput_healthy AND latency_healthy AND resources_healthy THEN 'System performing well' ELSE 'Performance issues detected' END AS status FROM o"""
+      CASE WHEN throughput_healthy AND latency_healthy AND resources_healthy THEN 'all measures in bounds' ELSE 'some measures out of bounds' END AS status FROM o"""
 
 
 @question("c29_performance_summary", "stage_log samples", _summary_sql(1440))
@@ -499,11 +499,11 @@ def duplicate_sequences(t):
     ord AS (SELECT persistence_id, count(*) AS n FROM (SELECT persistence_id, created, lag(created) OVER (PARTITION BY persistence_id ORDER BY sequence_nr, seq) AS p FROM migrated_events)
       WHERE p > created GROUP BY 1),
     mis AS (SELECT user_id FROM legacy_events EXCEPT SELECT split_part(persistence_id, '|', -1) FROM migrated_events)
-    SELECT 'counts' AS "check", s.measure || ': Source=' || s.events || ', Target=' || t.events || ', Difference=' || (s.events - t.events) AS message
+    SELECT 'counts' AS "check", s.measure || ': ' || s.events || ' in the source, ' || t.events || ' in the target, ' || (s.events - t.events) || ' apart' AS message
       FROM src s JOIN tgt t ON s.measure = t.measure WHERE s.events <> t.events
-    UNION ALL SELECT 'duplicates', 'Duplicate events found for persistence_id: ' || persistence_id || ', count: ' || duplicate_count FROM dup
-    UNION ALL SELECT 'users', 'User ID missing in target: ' || user_id FROM mis
-    UNION ALL SELECT 'ordering', 'Timestamp ordering issue for user: ' || persistence_id || ', out-of-order events: ' || n FROM ord""",
+    UNION ALL SELECT 'duplicates', persistence_id || ' has one sequence number ' || duplicate_count || ' times' FROM dup
+    UNION ALL SELECT 'users', 'no copied row of user ' || user_id FROM mis
+    UNION ALL SELECT 'ordering', persistence_id || ' has rows older than the row before them: ' || n FROM ord""",
 )
 def validation_issues(t):
     return m.validation_issues(t.legacy_events, t.migrated_events)
@@ -515,8 +515,8 @@ def validation_issues(t):
     "WITH " + RESULTS + """, s AS (SELECT count(*) AS total_records, count(*) AS processed, count(*) FILTER (status = 'SUCCESS') AS successful, count(*) FILTER (status = 'FAILED') AS failed,
       count(*) FILTER (status = 'SKIPPED') AS skipped, epoch_us(max(ts)) // 1000000 - epoch_us(min(ts)) // 1000000 AS duration_seconds FROM results),
     p AS (SELECT *, processed::DOUBLE / total_records::DOUBLE * 100.0::DOUBLE AS progress_pct, CASE WHEN duration_seconds > 0 THEN processed // duration_seconds ELSE 0 END AS records_per_second FROM s)
-    SELECT *, 'Migration Progress: ' || printf('%.2f', progress_pct) || '% (' || processed || '/' || total_records || ') | Success: ' || successful || ' | Failed: ' || failed ||
-      ' | Skipped: ' || skipped || ' | Rate: ' || records_per_second || ' records/sec | Duration: ' || duration_seconds || ' seconds' AS status_line FROM p""",
+    SELECT *, processed || ' of ' || total_records || ' copied (' || printf('%.2f', progress_pct) || '%): ' || successful || ' good, ' || failed || ' bad, ' ||
+      skipped || ' passed over; ' || records_per_second || ' a second for ' || duration_seconds || ' s' AS status_line FROM p""",
 )
 def migration_progress(t):
     return m.progress(m.migration_results(t.legacy_events, t.migrated_events))

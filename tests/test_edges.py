@@ -366,7 +366,7 @@ def test_null_ids_cannot_empty_the_missing_users(spark):
 def test_progress_of_nothing(spark):
     none = spark.createDataFrame([], "id long, user_id string, event_type string, ts timestamp_ntz, channel string, status string")
     r = one(migration.progress(none))
-    assert (r.progress_pct, r.records_per_second) == (0.0, 0) and r.status_line.startswith("Migration Progress: 0.00% (0/0)")
+    assert (r.progress_pct, r.records_per_second) == (0.0, 0) and r.status_line.startswith("0 of 0 copied (0.00%)")
     assert one(migration.may_continue(none, 0.0)).may_continue is True
 
 
