@@ -10,6 +10,7 @@ from rillbook.operators.ingest import user_journal, user_of
 from rillbook.operators.ordered import Running, join_per_key, running
 from rillbook.operators.state import merge_states, user_type_counts
 from rillbook.schemas import JOURNAL, PERSISTENCE_PREFIX, SNAPSHOT_EVERY, SNAPSHOTS_KEPT
+from rillbook.sources.storage import fixed
 
 
 def persistence_id(user: Column) -> Column:
@@ -70,17 +71,33 @@ def insertable(new: DataFrame, journal: DataFrame) -> DataFrame:
     return one.select(*new.columns).join(journal.select(*KEY), KEY, "left_anti")
 
 
+def refused(new: DataFrame, added: DataFrame) -> DataFrame:
+    """New rows that were not added; null keys meet null keys."""
+    names = [*KEY, "seq"]
+    have = added.select(*[F.col(c).alias(f"_a_{c}") for c in names])
+    on = [F.col(c).eqNullSafe(F.col(f"_a_{c}")) for c in names]
+    return new.join(have, on, "left_anti")
+
+
+def conflicts_path(path: str) -> str:
+    """The table beside a stored journal that holds the rows it refused."""
+    return path.rstrip("/") + "-conflicts"
+
+
 def append_journal(new: DataFrame, path: str) -> None:
-    """Append to the stored journal, keeping its key unique.
+    """Append to the stored journal, keeping its key unique; rows whose key is taken go to the table of conflicts.
 
     Folders by day serve reads by time; inside a folder the files are sorted by key, so that Parquet
     statistics serve reads of one id. Rebalancing by day gives files of even size: a full day is cut
     into several tasks, small days share one.
     """
     stored = stored_journal(new.sparkSession, path)
-    rows = insertable(new, stored) if stored is not None else insertable(new, new.filter(F.lit(False)))
+    rows = insertable(new, new.filter(F.lit(False)) if stored is None else stored).select(*JOURNAL.names)
+    # Fixed first: both writes must see the same decision, and the append changes what it was made from.
+    rows = fixed(rows, "journal-append")
+    refused(new, rows).select(*JOURNAL.names).write.mode("append").parquet(conflicts_path(path))
     (
-        rows.select(*JOURNAL.names)
+        rows
         .withColumn("day", F.to_date("ts"))
         .hint("rebalance", "day")
         .sortWithinPartitions("day", *KEY)

@@ -76,6 +76,8 @@ DELIVERY_STATUSES = ["DELIVERED", "FAILED", "PENDING", "UNKNOWN"]
 CALL_DIRECTIONS = ["INBOUND", "OUTBOUND"]
 DISCONNECT_REASONS = ["NORMAL", "BUSY", "NO_ANSWER", "FAILED", "CANCELLED", "NETWORK_ERROR"]
 CALL_QUALITIES = ["EXCELLENT", "GOOD", "FAIR", "POOR"]
+#: Channel of events without a type.
+NO_CHANNEL = "NONE"
 MAX_TEXT = 1600
 MAX_CALL_SECONDS = 86400
 
@@ -140,9 +142,16 @@ def channel_rules(columns: list[str]) -> list[Rule]:
             rule("recording_url", "format", ~c("recording_url").rlike(URI))
             rule("duration_seconds", "required_when", is_type("CALL_COMPLETED") & c("duration_seconds").isNull())
             rule("duration_seconds", "range_when", is_type("CALL_COMPLETED") & (c("duration_seconds") < 1))
+    # A missing type, or one nobody knows, is a finding of its own.
+    out.append(Rule(NO_CHANNEL, "event_type", "required", F.col("event_type").isNull()))
+    out.append(Rule("OTHER", "event_type", "enum", ~F.coalesce(F.col("event_type").isin(EVENT_TYPES), F.lit(True))))
     return out
 
 
+def _rule_channel() -> Column:
+    return F.coalesce(channel_of(F.col("event_type")), F.lit(NO_CHANNEL))
+
+
 def _with_violations(events: DataFrame) -> DataFrame:
     """One pass over the table; ``broken`` lists the rules a row breaks as ``field.code,field.code``.
 
@@ -150,7 +159,7 @@ def _with_violations(events: DataFrame) -> DataFrame:
     """
     ch = F.col("channel")
     checks = [F.when((ch == r.channel) & r.violated, F.lit(r.name)) for r in channel_rules(events.columns)]
-    rows = events.withColumn("channel", channel_of(F.col("event_type")))
+    rows = events.withColumn("channel", _rule_channel())
     return rows.select("event_id", "channel", F.concat_ws(",", *checks).alias("broken"))
 
 
@@ -180,7 +189,7 @@ def dq_report(events: DataFrame) -> DataFrame:
     All counts come from one aggregate without a key, so tasks send one row each.
     """
     rules = channel_rules(events.columns)
-    ch = channel_of(F.col("event_type"))
+    ch = _rule_channel()
     counts = [F.count_if(ch == r.channel).alias(f"c{i}") for i, r in enumerate(rules)]
     counts += [F.count_if((ch == r.channel) & r.violated).alias(f"v{i}") for i, r in enumerate(rules)]
     row = F.array(

@@ -69,7 +69,7 @@ def routed_events(t):
 @question(
     "a06_batch_publish",
     "comm_events",
-    ROUTED_SQL + "SELECT topic, count(*) AS messages, count(DISTINCT key) AS users FROM routed WHERE topic IS NOT NULL GROUP BY topic",
+    ROUTED_SQL + "SELECT coalesce(topic, 'unrouted-events') AS topic, count(*) AS messages, count(DISTINCT key) AS users FROM routed GROUP BY 1",
 )
 def batch_publish(t):
     path = scratch(t.spark, "a06")
@@ -389,6 +389,8 @@ _PHONE = "^\\+?[1-9][0-9]{1,14}$"
 _CHECKS = [
     # (order, channel, field, code, condition); fields the table lacks are absent from every row
     *[(c, f, "required", f"{f} IS NULL") for c in ("EMAIL", "SMS", "CALL") for f in ("user_id", "event_id", "ts", "event_type")],
+    ("NONE", "event_type", "required", "event_type IS NULL"),
+    ("OTHER", "event_type", "enum", f"event_type NOT IN {DOMAIN}"),
     ("EMAIL", "email_address", "required", "email_address IS NULL"),
     ("SMS", "phone_number", "required", "phone_number IS NULL"),
     ("CALL", "phone_number", "required", "phone_number IS NULL"),
@@ -416,7 +418,7 @@ _CHECKS = [
     ("CALL", "duration_seconds", "required_when", "event_type = 'CALL_COMPLETED' AND duration_seconds IS NULL"),
     ("CALL", "duration_seconds", "range_when", "event_type = 'CALL_COMPLETED' AND duration_seconds < 1"),
 ]
-_TAGGED = f"tagged AS (SELECT *, {CHANNEL} AS ch FROM comm_events)"
+_TAGGED = f"tagged AS (SELECT *, coalesce({CHANNEL}, 'NONE') AS ch FROM comm_events)"
 _VIOLATIONS = "violations AS (" + "\n UNION ALL ".join(
     f"SELECT event_id, ch AS channel, '{f}' AS field, '{c}' AS code FROM tagged WHERE ch = '{ch}' AND ({cond})" for ch, f, c, cond in _CHECKS
 ) + ")"

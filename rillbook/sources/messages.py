@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillbook.schemas import BROKER
 
-#: Messages taken per micro-batch.
-MAX_PER_BATCH = 500
 
+def kafka_options(servers: str, topics: list[str], starting: str = "earliest", max_per_batch: int | None = None) -> dict[str, str]:
+    """Options of the broker source. Positions live in the checkpoint; nothing is committed to the broker.
 
-def kafka_options(servers: str, topics: list[str], starting: str = "earliest", max_per_batch: int | None = MAX_PER_BATCH) -> dict[str, str]:
-    """Options of the broker source. Positions live in the checkpoint; nothing is committed to the broker."""
+    ``max_per_batch`` bounds the messages of a micro-batch over all partitions; choose it by the memory of the executors.
+    """
     if starting not in ("earliest", "latest"):
         raise ValueError("start from earliest or latest")
     opts = {

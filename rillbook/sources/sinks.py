@@ -8,6 +8,8 @@ from rillbook.operators.ingest import natural_key
 from rillbook.operators.monitoring import retry_plan
 from rillbook.operators.quality import base_valid
 
+#: Where rows go that no topic takes; nothing is dropped on the way out.
+UNROUTED = "unrouted-events"
 TOPICS = {"EMAIL": "email-events", "SMS": "sms-events", "CALL": "call-events"}
 ROUTES = {
     "EMAIL_OPEN": "EMAIL", "EMAIL_CLICK": "EMAIL",
@@ -52,9 +54,14 @@ def keyed_text(events: DataFrame, topic: str) -> DataFrame:
     return events.select(F.lit(topic).alias("topic"), key.alias("key"), value.alias("value"))
 
 
+def addressed(records: DataFrame) -> DataFrame:
+    """Every row with a topic; those without one get :data:`UNROUTED`."""
+    return records.withColumn("topic", F.coalesce("topic", F.lit(UNROUTED)))
+
+
 def write_topics(records: DataFrame, path: str) -> None:
-    """File form of the topic sink: one folder per topic."""
-    records.filter(F.col("topic").isNotNull()).write.mode("overwrite").partitionBy("topic").parquet(path)
+    """File form of the topic sink: one folder per topic, also for rows that none takes."""
+    addressed(records).write.mode("overwrite").partitionBy("topic").parquet(path)
 
 
 def kafka_sink_options(servers: str) -> dict[str, str]:
@@ -63,7 +70,7 @@ def kafka_sink_options(servers: str) -> dict[str, str]:
 
 
 def write_topics_kafka(records: DataFrame, servers: str) -> None:
-    rows = records.filter(F.col("topic").isNotNull()).select("topic", "key", "value")
+    rows = addressed(records).select("topic", "key", "value")
     rows.write.format("kafka").options(**kafka_sink_options(servers)).save()
 
 

@@ -17,7 +17,7 @@ from rillbook.operators import alerts, ingest
 from rillbook.operators.quality import base_valid
 from rillbook.operators.state import contact_feed
 from rillbook.schemas import ENGAGEMENT_COUNTERS
-from rillbook.sources.sinks import kafka_sink_options, with_outcome
+from rillbook.sources.sinks import addressed, kafka_sink_options, with_outcome
 from rillbook.sources.storage import write_batch
 from rillbook.streaming import processors as proc
 
@@ -129,9 +129,11 @@ def write_feeds(path: str) -> Callable[[DataFrame, int], None]:
 
     def handler(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        write_batch(batch, f"{path}/aggregation-updates", batch_id)
-        write_batch(contact_feed(batch), f"{path}/contact-notifications", batch_id)
-        batch.unpersist()
+        try:
+            write_batch(batch, f"{path}/aggregation-updates", batch_id)
+            write_batch(contact_feed(batch), f"{path}/contact-notifications", batch_id)
+        finally:
+            batch.unpersist()
 
     return handler
 
@@ -151,16 +153,18 @@ def write_results(path: str) -> Callable[[DataFrame, int], None]:
     def handler(batch: DataFrame, batch_id: int) -> None:
         results = with_outcome(batch).persist()
         ok = F.col("status") == "SUCCESS"
-        write_batch(results.filter(ok), f"{path}/processed", batch_id)
-        write_batch(results.filter(~ok), f"{path}/failed", batch_id)
-        results.unpersist()
+        try:
+            write_batch(results.filter(ok), f"{path}/processed", batch_id)
+            write_batch(results.filter(~ok), f"{path}/failed", batch_id)
+        finally:
+            results.unpersist()
 
     return handler
 
 
 def start_topics(records: DataFrame, servers: str, checkpoint: str, trigger: dict = DRAIN) -> StreamingQuery:
-    """Send ``(topic, key, value)`` rows to a broker. A row without a topic is for the quarantine."""
-    rows = records.filter(F.col("topic").isNotNull()).select("topic", "key", "value")
+    """Send ``(topic, key, value)`` rows to a broker. Rows without a topic go to the one for unrouted rows."""
+    rows = addressed(records).select("topic", "key", "value")
     writer = rows.writeStream.format("kafka").options(**kafka_sink_options(servers)).trigger(**trigger)
     return writer.option("checkpointLocation", checkpoint).start()
 

@@ -141,6 +141,8 @@ def test_append_keeps_keys_unique(spark):
     journal.append_journal(twice, path)
     stored = journal.stored_journal(spark, path)
     assert sorted((r.sequence_nr, r.seq) for r in stored.collect()) == [(i, i) for i in range(1, 6)]
+    refused = spark.read.parquet(journal.conflicts_path(path))
+    assert sorted(r.seq for r in refused.collect()) == [1, 2, 3, *range(101, 106)]
 
 
 def test_next_sequence_follows_the_highest_also_after_a_gap(spark):
@@ -218,6 +220,8 @@ def test_rules_of_all_channels(spark):
         ("e5", "u", T0, "CALL_COMPLETED", None, None, None, None, None, None, None, None, 0, "SIDEWAYS", "GOOD"),
         ("e6", "u", T0, "CALL_UNKNOWN", None, "15551234", None, None, None, None, None, None, 90000, None, None),
         ("e7", "u", T0, "LOGIN", None, None, None, None, None, None, None, None, None, None, None),
+        ("e8", "u", T0, None, None, None, None, None, None, None, None, None, None, None, None),
+        ("e9", "u", T0, "NO_SUCH_TYPE", None, None, None, None, None, None, None, None, None, None, None),
     ]
     df = spark.createDataFrame(rows, cols)
     got = sorted((r.event_id, f"{r.field}.{r.code}") for r in quality.dq_violations(df).collect())
@@ -229,6 +233,7 @@ def test_rules_of_all_channels(spark):
         ("e4", "delivery_status.enum"),
         ("e5", "call_direction.enum"), ("e5", "duration_seconds.range_when"), ("e5", "phone_number.required"),
         ("e6", "duration_seconds.range"), ("e6", "event_type.enum"),
+        ("e8", "event_type.required"), ("e9", "event_type.enum"),
     ]
     report = {(r.channel, r.rule): (r.checked, r.violations) for r in quality.dq_report(df).collect()}
     assert report["SMS", "ts.required"] == (2, 1) and report["EMAIL", "ts.required"] == (2, 0)
@@ -382,7 +387,8 @@ def test_report_is_cut_and_says_so(spark):
 
 def test_broker_options():
     o = messages.kafka_options("h:9092", ["a", "b"])
-    assert o["subscribe"] == "a,b" and o["startingOffsets"] == "earliest" and o["maxOffsetsPerTrigger"] == "500"
+    assert o["subscribe"] == "a,b" and o["startingOffsets"] == "earliest" and "maxOffsetsPerTrigger" not in o
+    assert messages.kafka_options("h:9092", ["q"], max_per_batch=10**6)["maxOffsetsPerTrigger"] == "1000000"
     assert messages.kafka_options("h:9092", ["q"], "latest")["startingOffsets"] == "latest"
     with pytest.raises(ValueError):
         messages.kafka_options("h:9092", ["q"], "middle")
@@ -393,6 +399,10 @@ def test_unroutable_events_carry_a_reason(spark):
     df = events(spark, [("u", "EMAIL_OPEN", 1), ("u", "LOGIN", 1), (" ", "EMAIL_OPEN", 1)])
     got = [(r.topic, r.reason) for r in sinks.routed(df).collect()]
     assert got == [("email-events", None), (None, "no_topic"), (None, "invalid_event")]
+    path = scratch(spark, "topics")
+    sinks.write_topics(sinks.routed(df), path)
+    sent = {r.topic: r["count"] for r in spark.read.parquet(path).groupBy("topic").count().collect()}
+    assert sent == {"email-events": 1, sinks.UNROUTED: 2}
 
 
 def test_dashboard_sections(spark, tables):
