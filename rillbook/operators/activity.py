@@ -34,9 +34,13 @@ def user_activity(journal: DataFrame) -> DataFrame:
 
 
 def recent_activity(type_counts: DataFrame, limit: int = 20) -> DataFrame:
-    """Newest users first, one row per user and type; ties by user and type."""
-    last = F.max("last_ts").over(W.partitionBy("user_id"))
-    rows = type_counts.select("user_id", "event_type", "n", last.alias("last_updated"))
+    """Newest users first, one row per user and type; ties by user and type.
+
+    Every user has a row, so the rows asked for belong to as many users at most: those are found first.
+    """
+    per_user = type_counts.groupBy(F.col("user_id").alias("newest_user")).agg(F.max("last_ts").alias("last_updated"))
+    newest = per_user.orderBy(F.col("last_updated").desc_nulls_last(), "newest_user").limit(limit)
+    rows = type_counts.join(F.broadcast(newest), F.col("user_id").eqNullSafe(F.col("newest_user")))
     return (
         rows.orderBy(F.col("last_updated").desc_nulls_last(), "user_id", "event_type")
         .limit(limit)
