@@ -20,17 +20,42 @@ ROUNDS = 8
 #: What may be personal data, the first kind that fits counts.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
 _FREE, _DONE = r"(?<![\p{L}\p{N}.+/-])", r"(?![\p{L}\p{N}])"
-IP = _FREE + r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + r"(?!\.?[\p{L}\p{N}])"
-DATE = _FREE + r"(?:[12][0-9]{3}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[12][0-9]{3})" + _DONE
-SSN = _FREE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _DONE
+#: Checks that a pattern can make are made by it, so that a value which fails them takes no text away from others.
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+IP = _FREE + _OCTET + r"(?:\." + _OCTET + r"){3}" + r"(?!\.?[\p{L}\p{N}])"
+_D28, _D30, _D31 = "(?:0[1-9]|1[0-9]|2[0-8])", "(?:0[1-9]|[12][0-9]|30)", "(?:0[1-9]|[12][0-9]|3[01])"
+_M30, _M31 = "(?:0[469]|11)", "(?:0[13578]|1[02])"
+_YEAR = "(?:1[6-9]|2[0-9])[0-9]{2}"
+_LEAP = "(?:(?:1[6-9]|2[0-9])(?:0[48]|[2468][048]|[13579][26])|(?:16|2[048])00)"
+
+
+def _calendar(form: str, mark: str) -> str:
+    """The dates that exist, in the order of the letters of ``form``."""
+    days = ((_D31, _M31, _YEAR), (_D30, _M30, _YEAR), ("(?:29|30)", "(?:0[13-9]|1[0-2])", _YEAR), (_D28, "02", _YEAR), ("29", "02", _LEAP))
+    return "(?:" + "|".join(mark.join(dict(zip("dmy", x))[c] for c in form) for x in days) + ")"
+
+
+DATE = _FREE + "(?:" + "|".join([_calendar("ymd", "-"), _calendar("dmy", r"\."), _calendar("mdy", "/"), _calendar("dmy", "/")]) + ")" + _DONE
+SSN = _FREE + r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}" + _DONE
+_LOCAL = r"(?<![+.(-])[0-9]{3}-[0-9]{3}-[0-9]{4}" + _DONE
+#: The groups that cards are written in.
+CARD_FORM = "(?:[0-9]{13,19}|" + "|".join(
+    rf"[0-9]{{4}}(?:{x}[0-9]{{4}}){{3}}(?:{x}[0-9]{{3}})?|[0-9]{{4}}{x}[0-9]{{6}}{x}[0-9]{{4,5}}" for x in (" ", "-")) + ")"
+#: A phone's next group is not where another value begins, nor a date that does not exist.
+_OTHER = "(?:" + "|".join([IP, DATE, _FREE + "[0-9]{4}-[0-9]{2}-[0-9]{2}" + _DONE, SSN, r"(?<![0-9])" + CARD_FORM + _DONE]) + ")"
 PHONE = (
-    r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}"
-    r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![+.(-])[0-9]{3}-[0-9]{3}-[0-9]{4})" + _DONE
+    r"(?<![\p{L}\p{N}])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![.-]?[0-9])"
+    rf"|\+[0-9]{{1,3}}(?![ .-]?{_OTHER})[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:(?![ .-]?{_OTHER})[ .-]?[0-9]{{2,4}}){{1,4}}"
+    + r"(?<=\+" + 8 * r"[ .()-]{0,2}[0-9]" + 7 * r"(?:[ .()-]{0,2}[0-9])?" + ")"
+    r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|" + _LOCAL + ")" + _DONE
 )
-CARD = _FREE + r"[0-9](?:[ -]?[0-9]){12,18}" + _DONE
-KINDS = {"email": EMAIL, "ip": IP, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
-#: Any of the kinds; the group of DATE is the only one.
-ANY = "|".join([EMAIL, IP, DATE, SSN, PHONE, CARD])
+#: A run of numbers with 13 digits or more; which of its numbers are a card is seen afterwards.
+CARD_RUN = (
+    _FREE + r"(?=(?:[0-9][ -]?){13})[0-9]++" + _DONE + r"(?:[ -](?!" + "|".join([IP, DATE, SSN, _LOCAL]) + r")[0-9]++" + _DONE + ")*+"
+)
+KINDS = {"email": EMAIL, "ip": IP, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD_RUN}
+#: Any of the kinds.
+ANY = "|".join(KINDS.values())
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -195,7 +220,7 @@ def _ssn(key: str, m: Column) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """The validated kind of a match, or null: it looks like personal data but cannot be any."""
+    """The validated kind of a value, or null: it looks like personal data but cannot be any."""
     d = _digits(m)
     valid_ip = m.rlike("^[0-9]{1,3}(?:[.][0-9]{1,3}){3}$") & ~F.exists(_octets(m), lambda x: x > 255)
     return (
@@ -215,16 +240,75 @@ def pseudonym(key: str, m: Column, kind: Column) -> Column:
     return reduce(lambda rest, k: F.when(kind == k, _CHANGE[k](key, m)).otherwise(rest), _CHANGE, m)
 
 
+def _cards(run: Column, shape: str, *counts: int) -> Column:
+    """The run cut into (m, kind) pieces: cards, and what lies between them. A card is of whole numbers of the run;
+    at each number the ``counts`` (of all, if none) are tried in turn, those of another shape or checksum left out."""
+    numbers = F.regexp_extract_all(run, F.lit("([0-9]+[ -]?)"), F.lit(1))
+
+    def cut(g: Column) -> Column:
+        forms = F.array(*map(F.lit, counts)) if counts else F.array(F.size(g))
+        text = lambda start, count: F.array_join(F.slice(g, start, count), "")
+        bare = lambda start, count: F.regexp_replace(text(start, count), "[ -]$", "")
+
+        def is_card(start: Column, count: Column) -> Column:
+            return F.exists(F.array(bare(start, count)), lambda m: F.when(
+                m.rlike(f"^{shape}$") & F.length(_digits(m)).between(13, 19), luhn_sum(_digits(m), 1) % 10 == 0).otherwise(False))
+
+        def longest(i: Column) -> Column:
+            return F.coalesce(F.get(F.filter(forms, lambda k: (i + k <= F.size(g)) & is_card(i + 1, k)), F.lit(0)), F.lit(0))
+
+        best = F.transform(g, lambda _, i: F.struct(i.alias("at"), longest(i).alias("n")))
+        none = F.struct(F.array().cast("array<struct<at:int,n:int>>").alias("picks"), F.lit(0).alias("next"))
+        picks = F.aggregate(
+            F.filter(best, lambda x: x["n"] > 0), none,
+            lambda s, x: F.when(x["at"] < s["next"], s).otherwise(F.struct(F.concat(s["picks"], F.array(x)).alias("picks"), (x["at"] + x["n"]).alias("next"))),
+            lambda s: s["picks"],
+        )
+
+        def pieces(p: Column) -> Column:
+            ends = F.concat(F.array(F.lit(0)), F.transform(p, lambda x: x["at"] + x["n"]))
+            starts = F.concat(F.transform(p, lambda x: x["at"]), F.array(F.size(g)))
+            # The separator behind a card belongs to what follows.
+            def around(start: Column, i: Column) -> Column:
+                end = F.get(ends, i)
+                gap = F.concat(F.when(end > 0, F.regexp_extract(text(end, F.lit(1)), "[ -]?$", 0)).otherwise(""), text(end + 1, start - end))
+                card = F.get(p, i)
+                return F.array(
+                    F.struct(gap.alias("m"), F.lit(None).cast("string").alias("kind")),
+                    F.struct(F.coalesce(bare(card["at"] + 1, card["n"]), F.lit("")).alias("m"), F.when(card.isNotNull(), "card").alias("kind")),
+                )
+
+            return F.filter(F.flatten(F.transform(starts, around)), lambda x: x["m"] != "")
+
+        return F.transform(F.array(picks), pieces)[0]
+
+    return F.transform(F.array(numbers), cut)[0]
+
+
+def _run_pieces(run: Column) -> Column:
+    """Numbers in the usual groups of cards first, the shorter forms before the longer ones; then what is left, as
+    a whole, in any groups. Parts of it in any groups would make cards of a tenth of all plain numbers."""
+    known = _cards(run, CARD_FORM, 4, 3, 1, 5)
+    rest = lambda p: F.when(p["kind"].isNull() & (F.length(_digits(p["m"])) >= 13), F.concat(
+        F.filter(F.array(F.struct(F.regexp_extract(p["m"], "^[ -]?", 0).alias("m"), F.lit(None).cast("string").alias("kind"))), lambda x: x["m"] != ""),
+        _cards(F.regexp_replace(p["m"], "^[ -]", ""), "[0-9 -]+"),
+    )).otherwise(F.array(p))
+    return F.flatten(F.transform(known, rest))
+
+
 def _found(text: Column) -> Column:
-    """Matches with their kinds; a cheap look at the text first."""
-    hits = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    return F.when(text.rlike("[0-9]{2}|@"), hits)
+    """The pieces (m, kind) of every match, a null kind where a piece stays; a cheap look at the text first."""
+    def pieces(m: Column) -> Column:
+        is_run = m.rlike("^[0-9][0-9 -]*$") & (F.length(_digits(m)) >= 13)
+        return F.when(is_run, _run_pieces(m)).otherwise(F.array(F.struct(m.alias("m"), kind_of(m).alias("kind"))))
+
+    return F.when(text.rlike("[0-9]{2}|@"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), pieces))
 
 
 def _rewritten(text: Column, found: Column, key: str) -> Column:
-    new = F.transform(found, lambda f: pseudonym(key, f["m"], f["kind"]))
+    new = F.transform(found, lambda f: F.array_join(F.transform(f, lambda p: F.coalesce(pseudonym(key, p["m"], p["kind"]), p["m"])), ""))
     parts = F.zip_with(F.split(text, ANY, -1), new, lambda gap, n: F.concat(gap, F.coalesce(n, F.lit(""))))
-    return F.when(F.size(F.coalesce(found, F.array().cast("array<struct<m:string,kind:string>>"))) > 0, F.array_join(parts, "")).otherwise(text)
+    return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, F.array_join(parts, "")).otherwise(text)
 
 
 def pseudonymised(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
@@ -246,5 +330,5 @@ def pseudonymised(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
 def pseudonym_report(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     """(doc_id, text, n_email, n_ip, n_date, n_ssn, n_phone, n_card) with the replaced values counted."""
     rows = docs.select("doc_id", F.col("text").alias("old"), _found(F.col("text")).alias("found"))
-    count = lambda k: F.coalesce(F.size(F.filter("found", lambda f: f["kind"] == k)), F.lit(0)).cast("bigint")
+    count = lambda k: F.coalesce(F.size(F.filter(F.flatten("found"), lambda f: f["kind"] == k)), F.lit(0)).cast("bigint")
     return rows.select("doc_id", _rewritten(F.col("old"), F.col("found"), key).alias("text"), *[F.greatest(count(k), F.lit(0)).cast("bigint").alias(f"n_{k}") for k in KINDS])

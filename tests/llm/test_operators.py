@@ -170,6 +170,37 @@ def test_pseudonyms_are_permutations(spark):
     assert len({r.p for r in names.select(pseudonyms.permuted_name("k", "x", F.col("m")).alias("p")).collect()}) == 260
 
 
+def _pseudonymised(spark, *texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    return [r for r in pseudonyms.pseudonym_report(table).sort("doc_id").collect()]
+
+
+def test_pseudonyms_of_neighbours(spark):
+    phone, ip, card = "+1 (826) 555-4081", "190.137.223.204", "4111 1111 1111 1111"
+    got = _pseudonymised(
+        spark, phone, ip, card, f"{phone} {ip}", f"{card} 123", "12 4111111111111111", f"{card} 123-45-6789 1985-02-29",
+        f"+49 30 1234567 1985-03-04 {card}", "41111111 11111111", f"{card} 2nd", "7 " * 30_000, "+49 30 123456 2019-02-30",
+    )
+    new = [r.text for r in got]
+    assert not {phone, ip, card} & set(new)
+    assert new[3] == f"{new[0]} {new[1]}" and new[4] == f"{new[2]} 123" and new[5] == "12 " + new[2].replace(" ", "")
+    assert new[6].startswith(new[2] + " ") and new[6].endswith(" 1985-02-29") and (got[6].n_card, got[6].n_ssn, got[6].n_date) == (1, 1, 0)
+    assert new[7].endswith(" " + new[2]) and (got[7].n_phone, got[7].n_date, got[7].n_card) == (1, 1, 1)
+    assert new[8].replace(" ", "") == new[2].replace(" ", "") and new[9] == f"{new[2]} 2nd" and new[10] == "7 " * 30_000
+    assert new[11].startswith("+49 ") and new[11].endswith(" 2019-02-30") and got[11].n_phone == 1
+
+
+def test_pseudonyms_of_an_address_behind_a_phone(spark):
+    rows = spark.read.parquet(f"{SF}/../sf0.1/documents.parquet").filter("doc_id in (1377, 7052)")
+    old = {r.doc_id: r.text for r in rows.collect()}
+    pairs = {i: re.search(r"(\+1 \(\d{3}\) \d{3}-\d{4}) (\d+\.\d+\.\d+\.\d+)", t).groups() for i, t in old.items()}
+    alone = [r.text for r in _pseudonymised(spark, *(v for i in sorted(pairs) for v in pairs[i]))]
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonym_report(rows).collect()}
+    for k, i in enumerate(sorted(pairs)):
+        assert " ".join(alone[2 * k : 2 * k + 2]) in got[i] and " ".join(pairs[i]) not in got[i]
+    assert len(got) == 2
+
+
 def test_nothing_personal_nothing_changed(docs):
     rows = docs.join(pseudonyms.pseudonym_report(docs).withColumnRenamed("text", "new"), "doc_id")
     free = rows.filter("n_email + n_ip + n_date + n_ssn + n_phone + n_card = 0")
