@@ -19,10 +19,12 @@ ROUNDS = 8
 
 #: What may be personal data, the first kind that fits counts.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}"
-_FREE, _DONE = r"(?<![\p{L}\p{N}.+/-])", r"(?![\p{L}\p{N}])"
+#: Around a value: no digit and no Latin letter, which makes it part of a name or version; other scripts do without spaces.
+_FREE, _DONE = r"(?<![\p{IsLatin}\p{N}])", r"(?![\p{IsLatin}\p{N}])"
 #: Checks that a pattern can make are made by it, so that a value which fails them takes no text away from others.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
-IP = _FREE + _OCTET + r"(?:\." + _OCTET + r"){3}" + r"(?!\.?[\p{L}\p{N}])"
+#: Before it no part of a longer number either, by the separators of its own form.
+IP = _FREE + r"(?<![0-9]\.)" + _OCTET + r"(?:\." + _OCTET + r"){3}" + _DONE + r"(?!\.[0-9])"
 _D28, _D30, _D31 = "(?:0[1-9]|1[0-9]|2[0-8])", "(?:0[1-9]|[12][0-9]|30)", "(?:0[1-9]|[12][0-9]|3[01])"
 _M30, _M31 = "(?:0[469]|11)", "(?:0[13578]|1[02])"
 _YEAR = "(?:1[6-9]|2[0-9])[0-9]{2}"
@@ -35,23 +37,25 @@ def _calendar(form: str, mark: str) -> str:
     return "(?:" + "|".join(mark.join(dict(zip("dmy", x))[c] for c in form) for x in days) + ")"
 
 
-DATE = _FREE + "(?:" + "|".join([_calendar("ymd", "-"), _calendar("dmy", r"\."), _calendar("mdy", "/"), _calendar("dmy", "/")]) + ")" + _DONE
-SSN = _FREE + r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}" + _DONE
-_LOCAL = r"(?<![+.(-])[0-9]{3}-[0-9]{3}-[0-9]{4}" + _DONE
+_DATE_DONE = "(?:" + _DONE + "|(?=T[0-9]{2}))"
+DATE = _FREE + "(?:" + "|".join(
+    f"(?<![0-9]{mark})" + _calendar(form, mark) for form, mark in (("ymd", "-"), ("dmy", r"\."), ("mdy", "/"), ("dmy", "/"))) + ")" + _DATE_DONE
+SSN = _FREE + r"(?<![0-9]-)(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}" + _DONE
+_LOCAL = r"(?<![\p{IsLatin}\p{N}])(?<![0-9][.-])[0-9]{3}-[0-9]{3}-[0-9]{4}" + _DONE
 #: The groups that cards are written in.
 CARD_FORM = "(?:[0-9]{13,19}|" + "|".join(
     rf"[0-9]{{4}}(?:{x}[0-9]{{4}}){{3}}(?:{x}[0-9]{{3}})?|[0-9]{{4}}{x}[0-9]{{6}}{x}[0-9]{{4,5}}" for x in (" ", "-")) + ")"
 #: A phone's next group is not where another value begins, nor a date that does not exist.
 _OTHER = "(?:" + "|".join([IP, DATE, _FREE + "[0-9]{4}-[0-9]{2}-[0-9]{2}" + _DONE, SSN, r"(?<![0-9])" + CARD_FORM + _DONE]) + ")"
 PHONE = (
-    r"(?<![\p{L}\p{N}])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![.-]?[0-9])"
+    _FREE + r"(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![.-]?[0-9])"
     rf"|\+[0-9]{{1,3}}(?![ .-]?{_OTHER})[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:(?![ .-]?{_OTHER})[ .-]?[0-9]{{2,4}}){{1,4}}"
     + r"(?<=\+" + 8 * r"[ .()-]{0,2}[0-9]" + 7 * r"(?:[ .()-]{0,2}[0-9])?" + ")"
     r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|" + _LOCAL + ")" + _DONE
 )
 #: A run of numbers with 13 digits or more; which of its numbers are a card is seen afterwards.
 CARD_RUN = (
-    _FREE + r"(?=(?:[0-9][ -]?){13})[0-9]++" + _DONE + r"(?:[ -](?!" + "|".join([IP, DATE, SSN, _LOCAL]) + r")[0-9]++" + _DONE + ")*+"
+    _FREE + r"(?<![0-9]\.)(?=(?:[0-9][ -]?){13})[0-9]++" + _DONE + r"(?:[ -](?!" + "|".join([IP, DATE, SSN, _LOCAL]) + r")[0-9]++" + _DONE + ")*+"
 )
 KINDS = {"email": EMAIL, "ip": IP, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD_RUN}
 #: Any of the kinds.
@@ -302,7 +306,7 @@ def _found(text: Column) -> Column:
         is_run = m.rlike("^[0-9][0-9 -]*$") & (F.length(_digits(m)) >= 13)
         return F.when(is_run, _run_pieces(m)).otherwise(F.array(F.struct(m.alias("m"), kind_of(m).alias("kind"))))
 
-    return F.when(text.rlike("[0-9]{2}|@"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), pieces))
+    return F.when(text.rlike("[0-9]|@"), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), pieces))
 
 
 def _rewritten(text: Column, found: Column, key: str) -> Column:

@@ -190,6 +190,19 @@ def test_pseudonyms_of_neighbours(spark):
     assert new[11].startswith("+49 ") and new[11].endswith(" 2019-02-30") and got[11].n_phone == 1
 
 
+def test_pseudonyms_behind_marks(spark):
+    texts = {
+        "seen 8.8.8.8 here": "ip", "http://10.12.1.2/x": "ip", "-10.12.1.2": "ip", "10.12.1.2-10.12.1.9": "ip", "1985-03-04T10:00": "date",
+        "a/1985-03-04": "date", ".04.03.1985": "date", "/123-45-6789": "ssn", "(123-45-6789)": "ssn", "card/4111111111111111": "card",
+        "-4111 1111 1111 1111": "card", "(555-123-4567)": "phone", "电话10.1.1.1是": "ip", "a=1,b=8.8.8.8": "ip",
+        "v10.2.3.4": "", "1.10.2.3.4": "", "10.2.3.4.5": "", "12-123-45-6789": "", "0.4111111111111111": "", "f4111111111111111": "",
+    }
+    for r in _pseudonymised(spark, *texts):
+        old, kind = list(texts.items())[r.doc_id]
+        assert [k for k in pseudonyms.KINDS if r[f"n_{k}"]] == [kind] * bool(kind) and (r.text != old) == bool(kind), old
+        assert r.n_ip == (2 if old.count("10.12") == 2 else kind == "ip"), old
+
+
 def test_pseudonyms_of_an_address_behind_a_phone(spark):
     rows = spark.read.parquet(f"{SF}/../sf0.1/documents.parquet").filter("doc_id in (1377, 7052)")
     old = {r.doc_id: r.text for r in rows.collect()}
