@@ -2,7 +2,8 @@
 
 Every text block belongs to a root-to-leaf tag path. Per path the mean text length and the mean number of
 punctuation marks of its blocks are taken, smoothed over the blocks in page order, fused, and compared
-with a threshold; the chosen paths show which element holds the article, and its blocks are the text.
+with a threshold; the chosen paths show which elements hold the article, and the text is the blocks of these
+paths and elements.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import html
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -23,9 +25,9 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select "
     "summary table tbody td tfoot th thead tr ul head".split()
 )
-#: Elements that never hold article text.
+#: Elements that never hold article text; a form may wrap the whole page, so its text decides.
 OUTSIDE = frozenset(
-    "head script style noscript template nav header footer aside form button select textarea input label iframe "
+    "head script style noscript template nav header footer aside button select textarea input label iframe "
     "object svg canvas audio video dialog menu title math datalist fieldset".split()
 )
 #: An open element of the first kind ends where one of the second begins.
@@ -51,10 +53,12 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，、！？؟،]")
 _WHITE = re.compile(r"\s+")
 #: Share of the mean fused ratio above which a path counts as content.
 THRESHOLD = 0.5
+#: A form with less than one part in so many of the page's text is boilerplate.
+FORM_PARTS = 4
 
 
 class Element:
-    __slots__ = ("name", "outside", "parent", "path")
+    __slots__ = ("form", "name", "outside", "parent", "path")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
         self.name, self.parent = name, parent
@@ -71,9 +75,16 @@ class Element:
                 gone |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         # A page or its body named after its layout is not boilerplate.
         self.outside = (gone and name not in ("html", "body", "article", "main")) or bool(parent and parent.outside)
+        self.form = parent and parent.form or (self if name == "form" else None)
         self.path = (parent.path if parent else "") + "/" + name + mark
 
 
+def _above(element: Element) -> Iterator[Element]:
+    while element.parent is not None:
+        element = element.parent
+        yield element
+
+
 class Block:
     __slots__ = ("element", "parts")
 
@@ -143,7 +154,11 @@ def _blocks(page: str) -> list[tuple[Element, str]]:
         text = _WHITE.sub(" ", "".join(block.parts)).strip()
         if text:
             out.append((block.element, text))
-    return out
+    whole, held = 0, defaultdict(int)
+    for element, text in out:
+        whole += len(text)
+        held[element.form] += len(text)
+    return [(e, t) for e, t in out if e.form is None or held[e.form] * FORM_PARTS >= whole]
 
 
 def _smooth(values: list[float], spread: float = 1.0) -> list[float]:
@@ -179,31 +194,31 @@ def main_text(page: str | None) -> str:
     scores = path_scores(blocks)
     mean = sum(scores[e.path] for e, _ in blocks) / len(blocks)
     chosen = [(e, t) for e, t in blocks if scores[e.path] >= THRESHOLD * mean]
-    # Each chosen block speaks for the elements around it, the nearer ones first; an article or main element
-    # that holds any chosen block is the page's own word for where its text is.
+    # Each chosen block speaks for the elements around it; an article or main element is the page's own word
+    # for where its text is, if it holds most of the chosen text.
     weight: dict[Element, float] = defaultdict(float)
     for element, text in chosen:
         at = element
         while at is not None:
             weight[at] += len(text)
             at = at.parent
-    whole = max(weight.values())
-    named = [e for e in weight if e.name in ("article", "main")]
-    if named:
-        articles = [e for e in named if e.name == "article"] or named
-        best = max(articles, key=lambda e: weight[e])
-        # Pages with several articles of like weight are lists of them: all are content.
-        holders = [e for e in articles if weight[e] * 4 >= weight[best]]
+    whole = sum(len(t) for _, t in chosen)
+    for name in ("article", "main"):
+        # Pages with several articles are lists of them: all that hold chosen blocks are content.
+        holders = {e for e in weight if e.name == name}
+        outer = [e for e in holders if not any(a in holders for a in _above(e))]
+        if 2 * sum(weight[e] for e in outer) > whole:
+            break
     else:
-        # The deepest element that still holds nearly all chosen text, but no single block of several.
-        holders = [max((e for e in weight if weight[e] * 10 >= whole * 9), key=lambda e: e.path.count("/"))]
-    kept = []
-    for element, text in blocks:
-        at = element
-        while at is not None and at not in holders:
-            at = at.parent
-        if at is not None:
-            kept.append(text)
+        holders = set()
+    # Chosen blocks outside stay as well, with what lies between them.
+    if holders:
+        chosen_paths = {e.path for e, _ in chosen}
+        kept = [t for e, t in blocks if e in holders or any(a in holders for a in _above(e)) or e.path in chosen_paths]
+    else:
+        # The smallest element that holds all chosen text.
+        holder = max((e for e in weight if weight[e] == whole), key=lambda e: sum(1 for _ in _above(e)))
+        kept = [t for e, t in blocks if e is holder or holder in _above(e)]
     return "\n".join(kept)
 
 

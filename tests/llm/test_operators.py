@@ -329,6 +329,28 @@ def test_odd_pages(spark):
     assert [r.text for r in got] == ["", "", "", "deep", "", "plain"]
 
 
+LONG_TEXT = "Some long text, with marks; and more. It goes on, and on. " * 8
+
+
+@pytest.mark.parametrize("page", [
+    f"<main><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></main><article class=card><p>A teaser, not long. Read it.</p></article>",
+    f"<div id=content><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div><article class=card><p>A teaser, not long. Read it.</p></article>",
+    f"<div class=post><h1>The title</h1><div class=body><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div></div>",
+    f"<div class=a><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div><div class=b><p>{LONG_TEXT[:60]}</p></div>",
+    f"<body><form action=x><input><div><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div></form><form><p>Search</form></body>",
+])
+def test_chosen_blocks_stay(page):
+    from rillbook.llm.html_text import THRESHOLD, _blocks, path_scores
+
+    blocks = _blocks(page)
+    scores = path_scores(blocks)
+    mean = sum(scores[e.path] for e, _ in blocks) / len(blocks)
+    got = html_text.main_text(page).split("\n")
+    assert got.count(LONG_TEXT.strip()) == 2
+    assert all(t in got for e, t in blocks if scores[e.path] >= THRESHOLD * mean)
+    assert "Search" not in got and ("<h1>" not in page or got[0] == "The title")
+
+
 # 7
 
 
