@@ -10,6 +10,8 @@ from datetime import date
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from rillbook.llm.words import ENGLISH
+
 #: The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -18,10 +20,10 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "guess")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A name that announces a credential, and its value up to white space or a closing quote.
+#: A name that announces a credential, alone or as part of a longer name, and its value up to white space or a closing quote.
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pw|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?|pin|login)"""
-    r"""["']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}["']?([^\s"'<>,;]{6,})""",
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pw|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?|pin|login)"""
+    r"""(?:[_.-](?:key|value)){0,3}["']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}["']?([^\s"'<>,;]{6,})""",
     re.I | re.A,
 )
 _HINTS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "bearer", "credential", "pin", "login")
@@ -36,8 +38,8 @@ COMMON_WORDS = (
     "example default changeme temp demo sample null none true false the and for you with from this that have will "
     "your can not are was what all were when there use each which how said out many time word"
 ).split()
-WORD_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST_WORD = max(map(len, COMMON_WORDS))
+WORD_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON_WORDS, *ENGLISH]))}
+_LONGEST_WORD = max(map(len, WORD_RANK))
 _LEET = str.maketrans("430157@$!", "aeolstasi")
 #: Rows of the usual keyboard and of its number block.
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -198,9 +200,6 @@ def guess_spans(text: str, base: list[tuple[int, int, str]], least: float = LEAS
         if held and held[0] < end:
             continue
         value = m[1]
-        # A plain word after "auth:" is prose; a secret mixes classes or is long.
-        if value.isalpha() and (value.islower() or value.istitle() or value.isupper()):
-            continue
         cost, _ = guess_cost(value)
         if cost >= least:
             out.append((start, end, "guess", cost))

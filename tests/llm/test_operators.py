@@ -254,6 +254,20 @@ def test_guess_spans():
     assert row[3] == 1 and row[5] == "guess:5:15"
 
 
+@pytest.mark.parametrize("text", [
+    "pwd: qmvxwzkyprhgjdk", "passphrase=XKQJVBZMWPFH", "auth: Qmvxwzkyprhgjdk", "aws_secret_access_key = wJalrXUtnFEMI/K7MDENGbPxRfiCY",
+    "DB_PWD=xK9#mQ2$vL", "STRIPE_AUTH=sk9xQz81LmPw77", "my.pw-value: xK9#mQ2$vL", "auth_key: xK9#mQ2$vL",
+])
+def test_guess_spans_of_names_and_one_case(text):
+    value = re.split(" ?[=:] ?", text, maxsplit=1)[1]
+    assert secret_scan.scan_text(text)[5] == f"guess:{text.index(value)}:{len(text)}"
+
+
+@pytest.mark.parametrize("text", ["auth: required for everything", "The secret is understanding people.", "pin: somewhere", "login: Disabled", "xpwd: xK9#mQ2$vL"])
+def test_prose_is_no_secret(text):
+    assert secret_scan.scan_text(text)[3] == 0
+
+
 # 4
 
 
