@@ -12,7 +12,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -70,25 +70,45 @@ def sequence(payload: memoryview) -> tuple[int | None, np.ndarray]:
     return doc_id if flags & 1 else None, np.frombuffer(payload[ID_BYTES:], "<u4" if flags & 2 else "<u2").astype("<u4")
 
 
+class WholeMemo(ChunkMemo):
+    """Texts that hold the literal of an added token are encoded whole, as such a token ends a chunk anywhere."""
+
+    def __init__(self, encode_one: Callable[[str], bytes], literals: list[str], **options):
+        super().__init__(encode_one, **options)
+        self.literals = literals
+
+    def is_whole(self, text: str) -> bool:
+        return any(x in text for x in self.literals)
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_one(text) if self.is_whole(text) else super().encode(text)
+
+    def learn(self, texts: list[str]) -> None:
+        super().learn([t for t in texts if not self.is_whole(t)])
+
+
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> ChunkMemo:
+def tokenizer(path: str) -> WholeMemo:
     """One per Python worker. Only a tokenizer that splits like the chunks may be used: byte-level, by pattern."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     one = Tokenizer.from_file(path)
-    one.encode_special_tokens = True
+    literals = [t.content for t in one.get_added_tokens_decoder().values()]
 
     def encode(chunk: str) -> bytes:
         ids = one.encode(chunk, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def words(part: list[str]) -> list[bytes]:
-        both = one.encode(" " + " ".join(part), add_special_tokens=False)
+        joined = " " + " ".join(part)
+        if any(x in joined for x in literals):
+            return [encode(" " + w) for w in part]
+        both = one.encode(joined, add_special_tokens=False)
         ids, ends = np.array(both.ids, "<u4").tobytes(), np.searchsorted(both.word_ids, np.arange(len(part) + 1)) * 4
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
-    return ChunkMemo(encode, limit=900_000, encode_words=words)
+    return WholeMemo(encode, literals, limit=900_000, encode_words=words)
 
 
 def _put(folder: str, name: str, data: bytes) -> None:

@@ -425,6 +425,20 @@ def test_records_round_trip(spark, docs, plain):
         list(record_files.payloads(data[:20] + bytes([data[20] ^ 1]) + data[21:]))
 
 
+def test_records_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "plain words", "<|endoftext|>", "x<|endoftext|>y  z <|endoftext |>", "some words <|endoftext|>, words"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    start = 0
+    for r in sorted(record_files.document_records(rows, JSON, 2).collect(), key=lambda r: r.doc_id):
+        ids = [*tk.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert 50256 in tk.encode(texts[0], add_special_tokens=False).ids
+
+
 # 9
 
 
