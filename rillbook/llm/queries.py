@@ -1,4 +1,4 @@
-"""The ten operators as named queries over whole tables, and the SQL of those that SQL can express."""
+"""The operators as named queries over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rillbook.llm import (
-    forest_search, html_text, licences, mixing, ngram_join, prefix_bpe, pseudonyms, record_files, secret_scan, weak_rules,
+    forest_search, html_text, licences, mixing, ngram_join, phrases, prefix_bpe, pseudonyms, record_files, secret_scan,
+    token_counts, weak_rules, word_runs,
 )
 
 #: Appended to every document's ids in the record files.
@@ -61,6 +62,19 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.word_runs(_table(spark, sf_dir, "documents"), word_runs.periodic_tail)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), path)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_forest_search, op2_pseudonyms, op3_secret_scan, op4_weak_rules, op5_mixing, op6_html_text, op7_ngram_join,
-        op8_record_files, op9_licences, op10_prefix_bpe, pipeline,
+        op8_record_files, op9_licences, op10_prefix_bpe, op11_phrases, op12_word_runs, op13_token_counts, pipeline,
     )
     return {q.__name__: q for q in every}
 
