@@ -33,10 +33,16 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self.pairs: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        #: All ends of tokens with their ids, or -1: looking back from a byte stops where no token can go on.
-        #: A token that merging its own bytes does not give is never the last one.
-        self.ends = {t[i:]: -1 for t in ranks for i in range(len(t))}
-        self.ends |= {t: i for t, i in ranks.items() if self.halves(i) is not None}
+        #: Tokens read from their last byte: byte -> (what goes on before it, token or -1). Looking back from a byte
+        #: stops where no token can go on. A token that merging its own bytes does not give is never the last one.
+        self.back: dict[int, list] = {}
+        for t, i in ranks.items():
+            inner = self.back
+            for byte in reversed(t):
+                step = inner.setdefault(byte, [{}, -1])
+                inner = step[0]
+            if self.halves(i) is not None:
+                step[1] = i
 
     def merged(self, data: bytes) -> tuple[list[int], tuple[bytes, bytes] | None]:
         """Merge the pair of lowest rank, leftmost first, until none is left; also the last two parts merged.
@@ -95,14 +101,15 @@ class PrefixTable:
     def _fill(self, begin: int, stop: int) -> None:
         """Entries of the prefixes of ``begin + 1`` to ``stop`` bytes."""
         v, data, last = self.vocabulary, self.data, self.last
-        ends, pairs, holds, longest = v.ends, v.pairs, v.together, v.longest
+        back, pairs, holds, put = v.back, v.pairs, v.together, self.last.append
         for end in range(begin + 1, stop + 1):
-            start, least = end - 1, end - longest if end > longest else 0
-            while start >= least:
-                token = ends.get(data[start:end])
-                if token is None:
-                    start = -1
-                    break
+            start, inner = end, back
+            while start:
+                start -= 1
+                step = inner.get(data[start])
+                if step is None:
+                    raise ValueError(f"no token ends at byte {end}")
+                inner, token = step
                 if token >= 0:
                     if not start:
                         break
@@ -111,10 +118,9 @@ class PrefixTable:
                         known = holds(key)
                     if known:
                         break
-                start -= 1
-            if start < least:
+            else:
                 raise ValueError(f"no token ends at byte {end}")
-            last.append(token)
+            put(token)
 
     def append(self, more: bytes) -> PrefixTable:
         """Exact: entries of the old prefixes stay as they are."""
@@ -171,8 +177,10 @@ class Encoder:
     def _chunk(self, chunk: str) -> bytes:
         if len(self._pieces) > self.most:
             self._pieces.clear()
+        # A word of plain letters is one piece.
+        letters = chunk[1:] if chunk[:1] == " " else chunk
         out = []
-        for piece in self.vocabulary.pattern.findall(chunk):
+        for piece in (chunk,) if letters.isascii() and letters.isalpha() else self.vocabulary.pattern.findall(chunk):
             if (ids := self._pieces.get(piece)) is None:
                 ids = self._piece(piece)
                 if len(piece) <= 64:
