@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rillbook.sources.storage import scratch
@@ -17,6 +19,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As :func:`stored`, in as many buckets by ``column`` as there are shuffle partitions.
+
+    A join on this column with a small table deals out only the small one. Nothing is shuffled here: where a
+    task holds few values of the column, it writes few files.
+    """
+    spark, table = df.sparkSession, f"rillbook_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffles(df), column).option("path", scratch(spark, name)).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def packed(df: DataFrame, name: str = "row") -> DataFrame:
     """All columns as one struct, so that no name of the caller can clash with an operator's own."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))

@@ -14,13 +14,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from rillbook.llm.common import packed, shuffles, stored, unpacked
+from rillbook.llm.common import packed, shuffles, stored, stored_in_buckets, unpacked
 
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.9995
 #: At most so many hash functions; more rows in a band mean fewer false candidates.
 MAX_HASHES = 192
+#: Rows of a stored table that share a bitmap, as a power of two up to 15.
+SLICE = 12
 #: Nodes in a block of a component.
 BLOCK = 400
 
@@ -74,6 +76,10 @@ def signature(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _SKETCH = "n_grams bigint, h1 bigint, h2 bigint, bands array<bigint>"
 
 
+def _slice():
+    return F.shiftright("rid", SLICE)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -224,17 +230,16 @@ def linked_sets(sketched: DataFrame, n: int = WORDS, similarity: float = SIMILAR
 
 
 def joined(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """The stored rows (row, rid, sketch), and per rid (doc_id, n_grams, class, class_id, n_copies, n_links, n_text_links).
+    """The stored rows (row, rid, slice, sketch), and per rid (doc_id, n_grams, class, class_id, n_copies, n_links, n_text_links).
 
     ``class`` is null for documents without words: they take no part. ``class_id`` is the smallest id of
     the class, or the own id without words. ``n_links`` counts the other documents at or above the
     similarity, copies included; ``n_text_links`` the other n-gram sets. Null ids take part.
     """
-    bands, rows = bands_for(similarity, recall)
-    table = stored(
-        packed(docs).select("row", F.monotonically_increasing_id().alias("rid"), _sketcher(n, bands, rows)(F.col("row.text")).alias("sketch")),
-        "ngram-sketch",
-    )
+    bands, per_band = bands_for(similarity, recall)
+    rows = packed(docs).select("row", F.monotonically_increasing_id().alias("rid"))
+    table = rows.select("row", "rid", _slice().alias("slice"), _sketcher(n, bands, per_band)(F.col("row.text")).alias("sketch"))
+    table = stored_in_buckets(table, "ngram-sketch", "slice")
     sets = linked_sets(table, n, similarity)
     sets = stored(sets, "ngram-sets")
     first = sets.groupBy("class").agg(F.min("first_id").alias("class_first"))
@@ -264,9 +269,13 @@ def join_report(docs: DataFrame, **how) -> DataFrame:
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """One document of each class, that with the smallest id, with all columns; documents without words stay.
 
-    Of rows with one id, or of a class without ids, one stays. The texts are dealt out once.
+    Of rows with one id, or of a class without ids, one stays. The texts stay where they are: the numbers of
+    the rows that stay are dealt out, one bit a row, to the slices of the table they lie in.
     """
     table, found = joined(docs, **how)
     first = found.filter(F.col("class").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id")))
     keep = first.groupBy(F.coalesce("class", -1 - F.col("rid")).alias("class")).agg(F.min("rid").alias("rid")).select("rid")
-    return unpacked(table.join(stored(keep, "ngram-kept"), "rid", "left_semi"))
+    bits = keep.groupBy(_slice().alias("slice")).agg(F.bitmap_construct_agg(F.col("rid").bitwiseAND((1 << SLICE) - 1)).alias("bits"))
+    # One row a slice, so it is the hashed side, whatever its size.
+    here = table.join(stored(bits, "ngram-kept").hint("shuffle_hash"), "slice")
+    return unpacked(here.filter(f"conv(hex(substring(bits, cast((rid & {(1 << SLICE) - 1}) div 8 + 1 as int), 1)), 16, 10) & (1 << cast(rid & 7 as int)) <> 0"))
