@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rillbook.functions.barrier import evaluated_once
-from rillbook.functions.text import epoch_ms_time, ladder, long_or_null, parts
+from rillbook.functions.text import epoch_ms_time, has_text, ladder, long_or_null, parts
 from rillbook.schemas import (
     ACTION_TYPES,
     EVENT_TYPES,
@@ -182,6 +182,48 @@ def parse_user_messages(raw: DataFrame) -> DataFrame:
     )
 
 
+def decode_message(raw: DataFrame) -> DataFrame:
+    """Every message by its form, in one projection: ``json``, ``user`` (time, user, action, contact) or ``hash``.
+
+    A structured key decides before the value does. No row is left out; all columns of ``raw`` stay.
+    ``reason`` is NULL for a usable event, else what is wrong with the message or the event in it.
+    """
+    value, no = F.col("value"), F.lit(None)
+    doc = F.when(F.col("form") == "json", F.from_json("value", JSON_EVENT, {"mode": "PERMISSIVE"}))
+    rows = (
+        raw.withColumn("text", F.coalesce(_structured(F.col("key")), F.when(~is_json(value), _structured(value))))
+        .withColumn("form", F.when(F.col("text").isNotNull(), "user").when(is_json(value), "json").otherwise("hash"))
+        .withColumn("doc", doc)
+        .withColumn("p", parts(F.coalesce("text", "value"), ":"))
+        .withColumn("head", parts(F.get("p", F.lit(0)), "@"))
+    )
+    form, hash_ = F.col("form"), F.coalesce(F.get("head", F.lit(1)), F.lit(""))
+    json_ts = F.try_to_timestamp(F.col("doc.timestamp")).cast("timestamp_ntz")
+
+    def by_form(json, user, hashed):
+        return F.when(form == "json", json).when(form == "user", user).otherwise(hashed)
+
+    found = rows.withColumns(
+        {
+            "event_id": by_form(F.col("doc.eventId"), position_id(F.col("topic"), F.col("partition"), F.col("offset")), event_from_hash(hash_)),
+            "user_id": by_form(F.col("doc.userId"), F.get("head", F.lit(1)), user_from_hash(hash_)),
+            "event_type": by_form(F.col("doc.eventType"), F.get("p", F.lit(1)), action_type(F.coalesce(F.get("p", F.lit(1)), F.lit("")))),
+            "contact_id": by_form(F.col("doc.contactId"), long_or_null(F.get("p", F.lit(2))), no.cast("bigint")),
+            "ts": by_form(json_ts, *[epoch_ms_time(F.get("head", F.lit(0)))] * 2),
+        }
+    )
+    broken = by_form(
+        F.when(F.col("doc._corrupt_record").isNotNull(), "bad_json").when(F.col("doc.timestamp").isNotNull() & json_ts.isNull(), "bad_timestamp"),
+        F.when(F.size("head") != 2, "bad_time_user").when(F.col("contact_id").isNull(), "bad_contact_id").when(F.col("ts").isNull(), "bad_timestamp"),
+        F.when(value.isNull() | (F.size("p") < 2), "too_few_parts").when(F.col("ts").isNull(), "bad_timestamp"),
+    )
+    unusable = (
+        F.when(~has_text(F.col("user_id")), "missing_user").when(~has_text(F.col("event_id")), "missing_event_id")
+        .when(F.col("ts").isNull(), "missing_timestamp").when(~F.coalesce(F.col("event_type").isin(EVENT_TYPES), F.lit(False)), "unknown_type")
+    )
+    return found.withColumn("reason", F.coalesce(broken, unusable)).drop("text", "doc", "p", "head")
+
+
 def position_id(topic: Column, partition: Column, offset: Column) -> Column:
     """A repeatable event id: the hash of the place the message was read from."""
     return F.sha2(F.concat_ws(":", topic, partition.cast("string"), offset.cast("string")), 256)

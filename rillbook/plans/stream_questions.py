@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from rillbook.functions.clock import as_of, span
 from rillbook.operators import state as s
-from rillbook.plans.ingest_questions import ACTION_SQL, FORM2, ROUTED_SQL, UPDATES_SQL
+from rillbook.plans.ingest_questions import ACTION_SQL, FORM1, FORM2, ROUTED_SQL, UPDATES_SQL
 from rillbook.plans.monitor_questions import ALERTS, SEQUENCE, SIX_HOURS_MS
 from rillbook.plans.registry import question
-from rillbook.plans.sqltext import BASE_VALID, TYPE_COUNTS
+from rillbook.plans.sqltext import BASE_VALID, DOMAIN, TYPE_COUNTS
 from rillbook.sources import sinks
 from rillbook.sources.messages import file_stream
 from rillbook.sources.storage import read_batches, scratch
-from rillbook.streaming import jobs
+from rillbook.streaming import flow, jobs
 
 
 def _staged(t, df: DataFrame, name: str, files: int | None = None) -> tuple[str, str]:
@@ -170,6 +170,94 @@ def user_order(t):
     return _table(t, jobs.user_positions(rows), base)
 
 
+# ------------------------------------------------------------ the whole pipeline
+
+#: How late an event may be, how long messages wait for earlier ones, and micro-batches of the input.
+FLOW_LATE, FLOW_DELAY, FLOW_BATCHES = timedelta(hours=2), timedelta(minutes=15), 3
+#: A message is taken in every ten seconds, up to ten minutes late.
+RECEIVED_US = '(1704067200 + "offset" * 10 + ("offset" * 7919) % 600) * 1000000'
+
+FLOW_SQL = "WITH " + FORM2 + ", " + FORM1 + f""", j AS (SELECT topic, partition, "offset", value, json_valid(value) AS ok FROM raw_messages WHERE value LIKE '{{%'),
+    all_forms AS (
+      SELECT topic, partition, "offset", value, 'user' AS form, event_id, user_id, event_type, contact_id, ts, reason FROM form2 WHERE reason IS DISTINCT FROM 'no_structured_data'
+      UNION ALL SELECT topic, partition, "offset", value, 'json', CASE WHEN ok THEN value->>'$.eventId' END, CASE WHEN ok THEN value->>'$.userId' END, CASE WHEN ok THEN value->>'$.eventType' END,
+        NULL, CASE WHEN ok THEN try_cast(value->>'$.timestamp' AS TIMESTAMP) END, CASE WHEN NOT ok THEN 'bad_json' END FROM j
+      UNION ALL SELECT g.topic, g.partition, g."offset", g.value, 'hash', f.event_id, f.user_id, f.event_type, NULL, f.ts, f.reason
+        FROM form1 f JOIN form2 g ON f.topic = g.topic AND f."offset" = g."offset" WHERE g.reason = 'no_structured_data'),
+    checked AS (SELECT * EXCLUDE (reason), {RECEIVED_US} AS received_us,
+      coalesce(reason, CASE WHEN NOT coalesce(regexp_matches(user_id, '[^\x00-\x20]'), FALSE) THEN 'missing_user' WHEN NOT coalesce(regexp_matches(event_id, '[^\x00-\x20]'), FALSE) THEN 'missing_event_id'
+        WHEN ts IS NULL THEN 'missing_timestamp' WHEN NOT coalesce(event_type IN {DOMAIN}, FALSE) THEN 'unknown_type' END) AS reason FROM all_forms),
+    placed AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER w END AS sequence_nr,
+      CASE WHEN reason IS NULL THEN max(ts) OVER (PARTITION BY user_id, reason IS NULL ORDER BY received_us, topic, partition, "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS newest
+      FROM checked WINDOW w AS (PARTITION BY user_id, reason IS NULL ORDER BY received_us, topic, partition, "offset")),
+    labelled AS (SELECT *, CASE WHEN newest > ts THEN (epoch_us(newest) - epoch_us(ts)) // 1000 END AS late_ms FROM placed)
+    """
+
+
+def _flow(t, name: str) -> tuple[DataFrame, str]:
+    """Messages with receive times as files in turn, the last one a heartbeat, and the folder of the pipeline."""
+    base = scratch(t.spark, name)
+    seconds = 1704067200 + F.col("offset") * 10 + F.pmod(F.col("offset") * 7919, F.lit(600))
+    rows = t.raw_messages.withColumn("received", F.timestamp_seconds(seconds))
+    last = rows.agg(F.max("offset").alias("last")).select(F.coalesce("last", F.lit(0)).alias("last"))
+    placed = rows.crossJoin(F.broadcast(last)).withColumn("part", F.least(F.floor(F.col("offset") * FLOW_BATCHES / (F.col("last") + 1)), F.lit(FLOW_BATCHES - 1))).drop("last")
+    for i in range(FLOW_BATCHES):
+        placed.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    beat = last.select(
+        F.lit(flow.HEARTBEAT).alias("topic"), F.lit(0).alias("partition"), F.lit(0).cast("bigint").alias("offset"), F.lit(None).cast("string").alias("key"),
+        F.lit(None).cast("string").alias("value"), F.timestamp_seconds(F.col("last") * 10 + 1704067200 + 86400).alias("received"),
+    )
+    beat.write.mode("append").parquet(f"{base}/in")
+    return file_stream(t.spark, f"{base}/in", max_files=1, with_time=True), base
+
+
+def _pipeline(t, name: str) -> str:
+    raw, base = _flow(t, name)
+    jobs.finish(flow.start_pipeline(raw, f"{base}/out", f"{base}/checkpoint", int(FLOW_LATE.total_seconds() * 1000), FLOW_DELAY, spread=8))
+    return f"{base}/out"
+
+
+@question(
+    "i01_pipeline_results",
+    "raw_messages",
+    FLOW_SQL + f"""SELECT CASE WHEN reason IS NULL THEN 'success' WHEN reason = 'bad_json' THEN 'retry' ELSE 'failed' END AS stored_in, topic, partition, "offset",
+      make_timestamp(received_us) AS received, form, reason, CASE WHEN reason IS NULL THEN user_id END AS user_id, CASE WHEN reason IS NULL THEN event_type END AS event_type,
+      CASE WHEN reason IS NOT NULL THEN NULL WHEN late_ms > {int(FLOW_LATE.total_seconds() * 1000)} THEN 'INVALID' WHEN late_ms IS NOT NULL THEN 'WARNING' ELSE 'VALID' END AS label,
+      CASE WHEN reason IS NULL THEN late_ms END AS late_ms, sequence_nr FROM labelled""",
+)
+def pipeline_results(t):
+    """Every message in exactly one table of the pipeline."""
+    path = _pipeline(t, "i01-results")
+    names = ["topic", "partition", "offset", "received", "form", "reason", "user_id", "event_type", "label", "late_ms", "sequence_nr"]
+    kinds = dict(flow.pipeline_table(t.spark, path, "success").dtypes) | {"reason": "string"}
+    out = None
+    for name in ("success", "failed", "retry", "behind"):
+        rows = flow.pipeline_table(t.spark, path, name)
+        rows = rows.select(F.lit(name).alias("stored_in"), *[F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@question(
+    "i01_pipeline_state",
+    "raw_messages",
+    FLOW_SQL + "SELECT user_id, event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM labelled WHERE reason IS NULL GROUP BY 1, 2",
+)
+def pipeline_state(t):
+    return flow.current_state(t.spark, _pipeline(t, "i01-state"))
+
+
+@question(
+    "i05_receive_order",
+    "raw_messages",
+    FLOW_SQL + """SELECT user_id, topic, partition, "offset", event_type, sequence_nr AS position FROM labelled WHERE reason IS NULL""",
+)
+def receive_order(t):
+    """Positions of a user's events over all topics, in the order of their receive times."""
+    path = _pipeline(t, "i05-order")
+    return flow.pipeline_table(t.spark, path, "success").select("user_id", "topic", "partition", "offset", "event_type", F.col("sequence_nr").alias("position"))
+
+
 @question(
     "i06_idle_users",
     "comm_events",

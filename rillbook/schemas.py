@@ -65,6 +65,9 @@ BROKER = T.StructType(
     ]
 )
 
+#: The same with the time the broker took a message in.
+RECEIVED = T.StructType([*BROKER.fields, T.StructField("received", T.TimestampType())])
+
 #: JSON form of an event. Subtype fields are nullable columns of one wide record.
 JSON_EVENT = T.StructType(
     [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rillbook.schemas import BROKER
+from rillbook.schemas import BROKER, RECEIVED
 
 
 def kafka_options(servers: str, topics: list[str], starting: str = "earliest", max_per_batch: int | None = None) -> dict[str, str]:
@@ -25,19 +25,20 @@ def kafka_options(servers: str, topics: list[str], starting: str = "earliest", m
     return opts
 
 
-def kafka_stream(spark: SparkSession, servers: str, topics: list[str], **kw) -> DataFrame:
+def kafka_stream(spark: SparkSession, servers: str, topics: list[str], with_time: bool = False, **kw) -> DataFrame:
     raw = spark.readStream.format("kafka").options(**kafka_options(servers, topics, **kw)).load()
-    return broker_columns(raw)
+    return broker_columns(raw, with_time)
 
 
-def broker_columns(raw: DataFrame) -> DataFrame:
-    """Text key and value with their position."""
-    return raw.select("topic", "partition", "offset", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+def broker_columns(raw: DataFrame, with_time: bool = False) -> DataFrame:
+    """Text key and value with their position, and on request the time the broker took them in."""
+    time = [F.col("timestamp").alias("received")] if with_time else []
+    return raw.select("topic", "partition", "offset", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), *time)
 
 
-def file_stream(spark: SparkSession, path: str, topics: list[str] | None = None, max_files: int | None = None) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, topics: list[str] | None = None, max_files: int | None = None, with_time: bool = False) -> DataFrame:
     """Parquet files carrying the broker columns; ``max_files`` bounds each micro-batch."""
-    reader = spark.readStream.schema(BROKER)
+    reader = spark.readStream.schema(RECEIVED if with_time else BROKER)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     rows = reader.parquet(path)
