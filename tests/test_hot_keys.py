@@ -117,11 +117,15 @@ def test_alerts_over_many_ranges(spark, seed):
         rows.append((i, base + dt.timedelta(seconds=t), value))
     df = spark.createDataFrame(rows, "seq long, ts timestamp_ntz, memory_usage double")
     want = simulate([(int((ts - base).total_seconds()) * 1_000_000, s, v) for s, ts, v in rows], 300_000_000)
-    for fold_minutes, hot in ((5, 50), (17, None), (1440, None)):
-        got = alerts.alert_transitions(df, fold_range=dt.timedelta(minutes=fold_minutes), ranges=hot)
+    for rows_each, folds, hot in ((7, 3, 50), (40, 64, None), (50_000, 64, None)):
+        got = alerts.alert_transitions(df, fold_rows=rows_each, folds=folds, ranges=hot)
         assert sorted((r.seq, r.event) for r in got.collect()) == want
 
 
-def test_fold_range_must_hold_the_cooldown(tables):
-    with pytest.raises(ValueError):
-        alerts.alert_transitions(tables.samples, fold_range=dt.timedelta(minutes=1))
+def test_alerts_of_a_dense_metric(spark):
+    """1000 samples a second: the cooldown is longer than any range."""
+    rows = spark.range(400_000).select(
+        F.col("id").alias("seq"), F.timestamp_millis(F.col("id") + 1_700_000_000_000).cast("timestamp_ntz").alias("ts"), F.lit(95.0).alias("memory_usage")
+    )
+    got = alerts.alert_transitions(rows, cooldown=dt.timedelta(seconds=60), fold_rows=10_000, folds=4).collect()
+    assert sorted((r.seq, r.event) for r in got) == [(i, "RAISED") for i in range(0, 400_000, 60_000)]
