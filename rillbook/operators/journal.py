@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rillbook.functions.text import ratio
 from rillbook.operators.ingest import user_journal, user_of
 from rillbook.operators.ordered import Running, join_per_key, running
 from rillbook.operators.state import merge_states, user_type_counts
-from rillbook.schemas import JOURNAL, PERSISTENCE_PREFIX, SNAPSHOT_EVERY, SNAPSHOTS_KEPT
-from rillbook.sources.storage import fixed
+from rillbook.schemas import PERSISTENCE_PREFIX, SNAPSHOT_EVERY, SNAPSHOTS_KEPT
 
 
 def persistence_id(user: Column) -> Column:
@@ -79,45 +77,6 @@ def refused(new: DataFrame, added: DataFrame) -> DataFrame:
     return new.join(have, on, "left_anti")
 
 
-def conflicts_path(path: str) -> str:
-    """The table beside a stored journal that holds the rows it refused."""
-    return path.rstrip("/") + "-conflicts"
-
-
-def append_journal(new: DataFrame, path: str) -> None:
-    """Append to the stored journal, keeping its key unique; rows whose key is taken go to the table of conflicts.
-
-    Folders by day serve reads by time; inside a folder the files are sorted by key, so that Parquet
-    statistics serve reads of one id. Rebalancing by day gives files of even size: a full day is cut
-    into several tasks, small days share one.
-    """
-    stored = stored_journal(new.sparkSession, path)
-    rows = insertable(new, new.filter(F.lit(False)) if stored is None else stored).select(*JOURNAL.names)
-    # Fixed first: both writes must see the same decision, and the append changes what it was made from.
-    rows = fixed(rows, "journal-append")
-    refused(new, rows).select(*JOURNAL.names).write.mode("append").parquet(conflicts_path(path))
-    (
-        rows
-        .withColumn("day", F.to_date("ts"))
-        .hint("rebalance", "day")
-        .sortWithinPartitions("day", *KEY)
-        .write.mode("append")
-        .partitionBy("day")
-        .parquet(path)
-    )
-
-
-def stored_journal(spark: SparkSession, path: str) -> DataFrame | None:
-    """The journal written by :func:`append_journal`, None before the first append."""
-    try:
-        table = spark.read.schema(T.StructType([*JOURNAL.fields, T.StructField("day", T.DateType())])).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return table.drop("day")
-
-
 # -------------------------------------------------------- snapshots and replay
 
 
@@ -153,6 +112,46 @@ def snapshots(journal: DataFrame) -> DataFrame:
     )
 
 
+def newest_snapshot(snapshot_rows: DataFrame) -> DataFrame:
+    return snapshot_rows.groupBy("persistence_id").agg(F.max("snapshot_nr").alias("snapshot_nr"))
+
+
+def next_snapshots(old: DataFrame, tail: DataFrame) -> DataFrame:
+    """The snapshots to keep after the rows of ``tail``, made from the kept ones and these rows only.
+
+    ``tail`` holds the rows above the newest snapshot of their id. Ids that reach no new point keep theirs.
+    """
+    every = F.lit(SNAPSHOT_EVERY).cast("bigint")
+    last = highest_sequence(tail).select(
+        "persistence_id", (F.floor(F.col("highest") / SNAPSHOT_EVERY) * SNAPSHOT_EVERY).alias("last_snapshot")
+    )
+    ids = (
+        last.join(newest_snapshot(old), "persistence_id", "left")
+        .withColumn("base", F.coalesce("snapshot_nr", F.lit(0)))
+        .filter(F.col("last_snapshot") > F.col("base"))
+        .withColumn("first_new", F.greatest(F.col("base") + every, F.col("last_snapshot") - every * (SNAPSHOTS_KEPT - 1)))
+        .select("persistence_id", "last_snapshot", "base", "first_new")
+    )
+    first = F.ceil(F.col("sequence_nr") / SNAPSHOT_EVERY) * SNAPSHOT_EVERY
+    added = (
+        join_per_key(tail, ids, ["persistence_id"])
+        .withColumn("entry", F.greatest(first, "first_new"))
+        .filter(F.col("entry") <= F.col("last_snapshot"))
+        .groupBy("persistence_id", "event_type", "last_snapshot", "entry")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    )
+    base = old.join(ids, "persistence_id").filter(F.col("snapshot_nr") == F.col("base"))
+    entered = added.unionByName(base.withColumn("entry", F.col("first_new")).select(*added.columns))
+    new = (
+        entered.withColumn("snapshot_nr", F.explode(F.sequence("entry", "last_snapshot", every)))
+        .groupBy("persistence_id", "snapshot_nr", "event_type")
+        .agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    )
+    oldest = F.coalesce(F.col("last_snapshot") - every * (SNAPSHOTS_KEPT - 1), F.lit(0))
+    kept = old.join(ids.select("persistence_id", "last_snapshot"), "persistence_id", "left").filter(F.col("snapshot_nr") >= oldest)
+    return new.unionByName(kept.select(*new.columns))
+
+
 def live_journal(journal: DataFrame) -> DataFrame:
     """Rows no snapshot covers; the others may be deleted."""
     return _with_last_snapshot(journal).filter(F.col("sequence_nr") > F.col("last_snapshot")).select(*journal.columns)
@@ -165,8 +164,7 @@ def replay(journal: DataFrame) -> DataFrame:
 
 def restore(snapshot_rows: DataFrame, tail: DataFrame) -> DataFrame:
     """User state from the newest snapshot of each id and the rows after it."""
-    newest = snapshot_rows.groupBy("persistence_id").agg(F.max("snapshot_nr").alias("snapshot_nr"))
-    base = snapshot_rows.join(newest, ["persistence_id", "snapshot_nr"], "left_semi").select(
+    base = snapshot_rows.join(newest_snapshot(snapshot_rows), ["persistence_id", "snapshot_nr"], "left_semi").select(
         user_of(F.col("persistence_id")).alias("user_id"), "event_type", "n", "first_ts", "last_ts"
     )
     return merge_states(base, replay(tail))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rillbook.functions.clock import as_of
 from rillbook.functions.text import epoch_ms_time, parts
-from rillbook.operators import ingest, journal as j, migration as m, monitoring as mon, quality as q, state as s
+from rillbook.operators import ingest, journal as j, journal_store as store, migration as m, monitoring as mon, quality as q, state as s
 from rillbook.plans.registry import question
 from rillbook.plans.sqltext import BASE_VALID, CHANNEL, DISPLAY_ID, DOMAIN, ENGAGED, ENGAGEMENT, EVENT_LINE, RATES
 from rillbook.sources import sinks
@@ -47,9 +47,9 @@ def _incoming(t) -> DataFrame:
 )
 def journal_append(t):
     path = scratch(t.spark, "a04")
-    j.append_journal(t.journal, path)
-    j.append_journal(_incoming(t), path)
-    return j.stored_journal(t.spark, path).select("persistence_id", "sequence_nr", "event_type", "seq")
+    store.append_journal(t.journal, path)
+    store.append_journal(_incoming(t), path)
+    return store.stored_journal(t.spark, path).select("persistence_id", "sequence_nr", "event_type", "seq")
 
 
 ROUTED_SQL = f"""WITH r AS (
@@ -217,6 +217,21 @@ def snapshots(t):
     return j.snapshots(t.journal)
 
 
+@question(
+    "a14_truncated_state",
+    "journal",
+    """SELECT split_part(persistence_id, '|', -1) AS user_id, event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts
+    FROM journal WHERE persistence_id LIKE 'PersistentUserActor|%' GROUP BY ALL""",
+)
+def truncated_state(t):
+    """The journal is appended and truncated in two parts: state comes from the snapshots and the rows left."""
+    path = scratch(t.spark, "a14")
+    for part in ("sequence_nr <= 75", "sequence_nr > 75"):
+        store.append_journal(t.journal.filter(part), path)
+        store.truncate_journal(t.spark, path)
+    return store.restored_state(t.spark, path)
+
+
 @question(
     "a14_live_journal",
     "journal",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillbook.functions.clock import as_of
 from rillbook.operators import activity as a, ingest, journal as j, migration as m, profiles as p, quality as q, state as s
-from rillbook.operators.ordered import latest_per_key
+from rillbook.operators.ordered import join_per_key, latest_per_key
 from rillbook.plans.ingest_questions import INSERTABLE_SQL, TOPS, _incoming
 from rillbook.plans.registry import question
 from rillbook.plans.sqltext import BASE_VALID, DISPLAY_ID, ENGAGED, ENGAGEMENT, EVENT_LINE, RATES, TYPE_COUNTS
@@ -334,6 +334,22 @@ def insertable(t):
     return j.insertable(_incoming(t), t.journal).select("persistence_id", "sequence_nr", "seq")
 
 
+@question(
+    "d06_free_keys",
+    "journal migrated_events",
+    """WITH top AS (SELECT persistence_id, max(sequence_nr) AS highest FROM journal GROUP BY 1),
+    new AS (SELECT m.persistence_id, m.seq, m.sequence_nr + CASE WHEN m.seq % 2 = 1 THEN highest ELSE 0 END AS sequence_nr FROM migrated_events m JOIN top USING (persistence_id))
+    SELECT persistence_id, sequence_nr, min(seq) AS seq FROM new n
+    WHERE NOT EXISTS (SELECT 1 FROM journal x WHERE x.persistence_id = n.persistence_id AND x.sequence_nr = n.sequence_nr) GROUP BY ALL""",
+)
+def free_keys(t):
+    """Every other row moved behind the highest number of its id, where keys are free."""
+    moved = F.when(F.col("seq") % 2 == 1, F.col("highest")).otherwise(0)
+    rows = join_per_key(_incoming(t), j.highest_sequence(t.journal), ["persistence_id"])
+    rows = rows.withColumn("sequence_nr", F.col("sequence_nr") + moved).drop("highest")
+    return j.insertable(rows, t.journal).select("persistence_id", "sequence_nr", "seq")
+
+
 # ---------------------------------------------------------------- journal windows
 
 

@@ -29,10 +29,57 @@ def fixed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as the new content of a Parquet table and read it back."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    store, folder = _file_system(spark, path)
+    store.delete(folder, True)
+
+
+def versions(spark: SparkSession, path: str, whole: bool = True) -> list[int]:
+    """Numbers of a table's versions, ascending; a version is whole once its mark is there."""
+    store, folder = _file_system(spark, path)
+    if not store.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in store.listStatus(folder)]
+    found = [n for n in names if n.startswith("version=")]
+    if whole:
+        found = [n for n in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_WHOLE"))]
+    return sorted(int(n.removeprefix("version=")) for n in found)
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 2) -> DataFrame:
+    """Write ``df`` as the next version of a Parquet table and read it back.
+
+    Readers take the newest whole version, so a writer that dies leaves the last one as it was. Older
+    versions than the newest ``keep`` are deleted; readers of an old one should have finished by then.
+    """
+    spark = df.sparkSession
+    number = max(versions(spark, path, whole=False), default=-1) + 1
+    df.write.parquet(f"{path}/version={number}")
+    store, mark = _file_system(spark, f"{path}/version={number}/_WHOLE")
+    store.createNewFile(mark)
+    for old in versions(spark, path)[:-keep]:
+        delete_folder(spark, f"{path}/version={old}")
+    return spark.read.schema(df.schema).parquet(f"{path}/version={number}")
+
+
+def append_version(df: DataFrame, path: str) -> None:
+    """Add rows to the newest version of a table, or make its first."""
+    there = versions(df.sparkSession, path)
+    if there:
+        df.write.mode("append").parquet(f"{path}/version={there[-1]}")
+    else:
+        replace_table(df, path)
+
+
+def read_version(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest whole version of a table; without one, no rows."""
+    there = versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/version={there[-1]}") if there else spark.createDataFrame([], schema)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:

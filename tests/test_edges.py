@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from rillbook.operators import activity, alerts, ingest, journal, migration, monitoring, profiles, quality, sequence, state
-from rillbook.sources import messages, sinks
+from rillbook.operators import activity, alerts, ingest, journal, journal_store, migration, monitoring, profiles, quality, sequence, state
+from rillbook.sources import messages, sinks, storage
 from rillbook.sources.storage import scratch
 
 T0 = dt.datetime(2024, 1, 1)
@@ -135,16 +135,86 @@ def test_snapshot_points(spark, n, points, tail):
 
 def test_append_keeps_keys_unique(spark):
     path = scratch(spark, "append")
-    assert journal.stored_journal(spark, path) is None
-    journal.append_journal(journal_rows(spark, 3), path)
+    assert journal_store.stored_journal(spark, path) is None
+    journal_store.append_journal(journal_rows(spark, 3), path)
     twice = journal_rows(spark, 5).unionByName(journal_rows(spark, 5).withColumn("seq", F.col("seq") + 100))
-    journal.append_journal(twice, path)
-    stored = journal.stored_journal(spark, path)
+    journal_store.append_journal(twice, path)
+    stored = journal_store.stored_journal(spark, path)
     assert sorted((r.sequence_nr, r.seq) for r in stored.collect()) == [(i, i) for i in range(1, 6)]
-    refused = spark.read.parquet(journal.conflicts_path(path))
+    refused = spark.read.parquet(journal_store.conflicts_path(path))
     assert sorted(r.seq for r in refused.collect()) == [1, 2, 3, *range(101, 106)]
 
 
+def test_append_reads_only_days_that_may_hold_its_keys(spark):
+    path = scratch(spark, "days")
+    per_day = journal_rows(spark, 6).withColumn("ts", F.expr("timestamp_ntz'2025-01-01 00:00:00' + make_dt_interval(sequence_nr - 1)"))
+    journal_store.append_journal(per_day, path)
+    onward = per_day.withColumn("sequence_nr", F.col("sequence_nr") + 6)
+    assert journal_store.touched_days(onward, path) == []
+    assert journal_store.taken_keys(onward, path).count() == 0
+    again = per_day.filter("sequence_nr between 3 and 4")
+    days = journal_store.touched_days(again, path)
+    assert sorted(d.day for d in days) == [3, 4]
+    plan = journal_store.taken_keys(again, path)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [day" in plan
+    assert journal_store.taken_keys(again, path).select(F.input_file_name()).distinct().count() == 2
+    journal_store.append_journal(onward, path)
+    journal_store.append_journal(per_day.filter("sequence_nr = 1").withColumn("sequence_nr", F.lit(13).cast("long")), path)
+    journal_store.append_journal(per_day.filter("sequence_nr = 1").withColumn("sequence_nr", F.lit(14).cast("long")), path)
+    assert journal_store.stored_spans(spark, path).count() == 14
+    journal_store.compact_spans(spark, path)
+    assert journal_store.stored_spans(spark, path).count() == 13
+    assert sorted(d.day for d in journal_store.touched_days(per_day.filter("sequence_nr = 3"), path)) == [3]
+    journal_store.append_journal(again.withColumn("seq", F.lit(99).cast("long")), path)
+    assert journal_store.stored_journal(spark, path).count() == 14
+
+
+def test_batch_given_again_adds_and_reports_the_same(spark):
+    path = scratch(spark, "batches")
+    first = journal_rows(spark, 3)
+    clash = journal_rows(spark, 4).withColumn("seq", F.col("seq") + 10)
+    none = first.limit(1).withColumn("sequence_nr", F.lit(None).cast("long"))
+    second = clash.unionByName(none)
+    journal_store.append_batch(first, 0, path)
+    for _ in range(2):
+        journal_store.append_batch(second, 1, path)
+        assert sorted((r.sequence_nr, r.seq) for r in journal_store.stored_journal(spark, path).collect()) == [(1, 1), (2, 2), (3, 3), (4, 14)]
+        refused = spark.read.parquet(journal_store.stream_conflicts_path(path))
+        assert sorted((r.sequence_nr or 0, r.seq) for r in refused.collect()) == [(0, none.first().seq), (1, 11), (2, 12), (3, 13)]
+
+
+def test_truncated_rows_are_gone_and_state_stays(spark):
+    path = scratch(spark, "truncate")
+    whole = journal_rows(spark, 420).unionByName(journal_rows(spark, 49, "b")).withColumn("ts", F.expr("timestamp_ntz'2025-01-01 00:00:00' + make_dt_interval(0, sequence_nr)"))
+    for low, high in ((0, 120), (120, 130), (130, 420)):
+        journal_store.append_journal(whole.filter(f"sequence_nr > {low} and sequence_nr <= {high}"), path)
+        journal_store.truncate_journal(spark, path)
+        so_far = whole.filter(f"sequence_nr <= {high}")
+        rows = journal_store.stored_journal(spark, path)
+        assert sorted(rows.select("persistence_id", "sequence_nr").collect()) == sorted(journal.live_journal(so_far).select("persistence_id", "sequence_nr").collect())
+        assert sorted(journal_store.restored_state(spark, path).collect()) == sorted(journal.replay(so_far).collect())
+        snapshots = journal.snapshots(so_far)
+        assert sorted(journal_store.stored_snapshots(spark, path).select(*snapshots.columns).collect()) == sorted(snapshots.collect())
+    # Keys of deleted rows stay taken.
+    journal_store.append_journal(whole.filter("sequence_nr = 7 and persistence_id like '%a'"), path)
+    assert journal_store.stored_journal(spark, path).count() == 69
+    assert spark.read.parquet(journal_store.conflicts_path(path)).filter("sequence_nr = 7").count() == 1
+
+
+def test_a_writer_that_dies_leaves_the_last_version(spark):
+    path = scratch(spark, "versions")
+    assert storage.read_version(spark, path, "n int").count() == 0
+    for n in (1, 2, 3):
+        storage.replace_table(spark.createDataFrame([(n,)], "n int"), path)
+    assert storage.versions(spark, path) == [1, 2]
+    with pytest.raises(Exception):
+        storage.replace_table(spark.range(1).select(F.raise_error(F.lit("dies")).cast("int").alias("n")), path)
+    spark.range(5).write.mode("overwrite").parquet(f"{path}/version=7")
+    assert storage.read_version(spark, path, "n int").collect() == [(3,)]
+    storage.replace_table(spark.createDataFrame([(4,)], "n int"), path)
+    assert storage.read_version(spark, path, "n int").collect() == [(4,)]
+
+
 def test_next_sequence_follows_the_highest_also_after_a_gap(spark):
     have = journal_rows(spark, 2).withColumn("sequence_nr", F.col("sequence_nr") * 10)
     new = spark.createDataFrame([(7, "a", at(2)), (8, "a", at(1)), (9, "b", at(1))], "seq long, user_id string, ts timestamp_ntz")
