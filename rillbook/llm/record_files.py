@@ -133,10 +133,12 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int, file_byt
     """
     spark = docs.sparkSession
     jvm = spark.sparkContext._jvm
-    jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(
-        jvm.org.apache.hadoop.fs.Path(folder)
-    )
-    uri = folder if "://" in folder else folder.replace("file:", "file://", 1) if folder.startswith("file:") else "file://" + os.path.abspath(folder)
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    # A folder without a scheme lies where Spark's own readers look for it.
+    qualified = store.makeQualified(place).toString()
+    uri = qualified if "://" in qualified else qualified.replace("file:", "file://", 1)
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -95,12 +95,16 @@ class Rule:
     good: str
 
 
+#: The distinct words of a text grow at least with the root of its length: few are fewer than the root of this many times
+#: its words. Up to 3000 words a fifth of the words is the lower limit.
+GROWTH = 120
+
 #: SQL conditions over the features; where neither holds, or both do, the rule abstains. Kinds of junk exclude
 #: each other, so the absence of one kind is no vote for a document: its rule only votes bad.
 RULES = (
     Rule("length", "n_words < 10", "n_words >= 50"),
     Rule("word_length", "word_chars > 12 * n_words", "word_chars BETWEEN 3 * n_words AND 7 * n_words"),
-    Rule("variety", "n_words BETWEEN 50 AND 3000 AND 10 * n_distinct < 2 * n_words", "10 * n_distinct >= 5 * n_words"),
+    Rule("variety", f"n_words >= 50 AND 10 * n_distinct < 2 * n_words AND n_distinct * n_distinct < {GROWTH} * n_words", "10 * n_distinct >= 5 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words", "false"),
     Rule("lines", "n_lines >= 3 AND 10 * n_dup_lines > 5 * n_lines", "false"),
     Rule("repeats", "100 * n_repeat_words > 20 * n_words", "false"),

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -288,6 +289,22 @@ def test_quality_counts(docs, plain):
         assert not (r.base_failed and r.kept)
 
 
+@pytest.mark.parametrize("n", [49, 50, 2999, 3001, 100_000])
+def test_few_distinct_words_are_bad_at_any_length(spark, n):
+    draw = random.Random(n)
+    variety = next(r for r in weak_rules.RULES if r.name == "variety")
+
+    def vote(words):
+        features = weak_rules.text_features(" ".join(words))
+        row = spark.createDataFrame([features], ", ".join(f"{c} long" for c in weak_rules._NAMES))
+        return tuple(row.select(F.expr(variety.bad), F.expr(variety.good)).first())
+
+    junk = [f"w{draw.randrange(9)}" for _ in range(n)]
+    prose = [f"w{int(draw.paretovariate(0.4)) % 500_000}" for _ in range(n)]
+    assert vote(junk) == (n >= 50, False)
+    assert not vote(prose)[0]
+
+
 def test_quality_against_labels(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = weak_rules.quality_report(docs).filter("not base_failed").join(labels, "doc_id").collect()
