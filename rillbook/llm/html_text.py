@@ -1,9 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
 Every text block belongs to a root-to-leaf tag path. Per path the mean text length and the mean number of
-punctuation marks of its blocks are taken, smoothed over the blocks in page order, fused, and compared
-with a threshold; the chosen paths show which elements hold the article, and the text is the blocks of these
-paths and elements.
+punctuation marks of its blocks are taken, smoothed over the blocks in page order, and fused with the share of
+text outside links and a weight of the path's element and class names. A path above the threshold is content;
+the elements its blocks lie in are the content nodes, and short blocks inside them stay unless their names or
+links speak against them. Menus, adverts and footers are scored like all other blocks and lose by their score.
 """
 
 from __future__ import annotations
@@ -11,8 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -25,11 +25,13 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select "
     "summary table tbody td tfoot th thead tr ul head".split()
 )
-#: Elements that never hold article text; a form may wrap the whole page, so its text decides.
-OUTSIDE = frozenset(
-    "head script style noscript template nav header footer aside button select textarea input label iframe "
-    "object svg canvas audio video dialog menu title math datalist fieldset".split()
-)
+#: Elements whose text is not shown or is a form's control.
+UNSEEN = frozenset("head script style noscript template button select textarea label legend object svg canvas audio video datalist".split())
+#: Elements for the surroundings of an article; a header inside an article is the article's own.
+AROUND = frozenset("nav header footer aside menu dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that group others; whatever else holds text belongs to the text around it.
+CONTAINERS = frozenset("div section article aside main form fieldset center body html nav header footer menu dialog".split())
 #: An open element of the first kind ends where one of the second begins.
 CLOSED_BY = {
     "p": BLOCKS - {"html", "body", "head", "option", "legend", "caption"},
@@ -38,75 +40,104 @@ CLOSED_BY = {
 }
 #: Elements such an implied end does not reach out of.
 FENCES = frozenset("table td th ul ol dl select article section main div blockquote body html".split())
-#: Words in a class, id or role that mark what is not the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|foot|masthead|"
-    r"cookies?|consent|gdpr|notice|newsletter|subscribe|signup|login|popup|modal|overlay|toolbar|pagination|pager|share|"
-    r"sharing|social|related|recommend\w*|comments?|commentlist|discussion|disqus|replies|reply|respond|widget|search|"
-    r"copyright|legal|contentinfo|complementary|navigation|hidden|alert|toc)(?:$|[\s_-])"
+#: Names, as whole words of a class, id or role, of what is around an article, and of what may be either.
+_PLACE = r"(?:(?:site|page|main|global|top|bottom|left|right|post|article|user|reader)[_-])?"
+_PART = r"(?:[_-]?(?:bar|box|list|wrap|wrapper|container|section|block|area|links|items|inner|widget|slot|unit|form|posts|articles|[0-9]+))*"
+STRONG = re.compile(
+    _PLACE + r"(?:ads?|advert|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menubar|"
+    r"breadcrumbs?|sidebar|footer|masthead|header|cookies?|consent|gdpr|newsletter|subscribe|signup|login|popup|modal|overlay|"
+    r"toolbar|pagination|pager|comments?|commentlist|disqus|replies|respond|copyright|contentinfo|complementary|dialog)" + _PART
+)
+WEAK = re.compile(
+    _PLACE + r"(?:side|foot|notice|share|sharing|social|related|recommended|recommendations|discussion|reply|widget|search|legal|alert|toc)" + _PART
 )
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
+    re.S,
 )
 _NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、！？؟،]")
 _WHITE = re.compile(r"\s+")
-#: Share of the mean fused ratio above which a path counts as content.
-THRESHOLD = 0.5
-#: A form with less than one part in so many of the page's text is boilerplate.
+#: Share of the page's mean score, weighted by text and names, above which a path is content.
+THRESHOLD = 0.4
+#: Weights of names that speak against a path strongly or weakly, and of a place inside an article or main element.
+AGAINST, DOUBT, FAVOUR = 1 / 1000, 1 / 4, 2
+#: Paths with this share of their text in links are lists of links.
+LINKED = 0.6
+#: A form with less than one part in so many of the page's text is a form and no wrapper.
 FORM_PARTS = 4
 
 
 class Element:
-    __slots__ = ("form", "name", "outside", "parent", "path")
+    """One element, with what its ancestors say about it; paths are numbers of (parent's path, own label)."""
+
+    __slots__ = ("bare", "chosen", "form", "holder", "inside", "linked", "name", "parent", "path", "unseen", "weight")
 
-    def __init__(self, name: str, attributes: str, parent: Element | None):
-        self.name, self.parent = name, parent
-        mark, gone = "", name in OUTSIDE
+    def __init__(self, name: str, attributes: str, parent: Element | None, paths: dict[tuple, int]):
+        self.name, self.parent, self.chosen, self.bare = name, parent, 0, None
+        mark, unseen, weight = "", name in UNSEEN, 1.0
+        if name in AROUND and not (name == "header" and parent and parent.inside):
+            weight = AGAINST
         for key, a, b, c in _NAMED.findall(attributes) if attributes else ():
             value = html.unescape(a or b or c).lower()
             key = key.lower()
             if key in ("class", "id", "role"):
-                gone |= bool(MARKS.search(value))
+                if name not in ("html", "body", "main"):
+                    for word in value.split():
+                        if STRONG.fullmatch(word) and not (name == "header" and weight == 1):
+                            weight = AGAINST
+                        elif WEAK.fullmatch(word):
+                            weight = min(weight, DOUBT)
                 mark += "." + value if key == "class" else ""
             elif key == "hidden" or key == "aria-hidden" and value == "true":
-                gone = True
+                unseen = True
             elif key == "style":
-                gone |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-        # A page or its body named after its layout is not boilerplate.
-        self.outside = (gone and name not in ("html", "body", "article", "main")) or bool(parent and parent.outside)
+                unseen |= bool(_HIDDEN.search(value))
+        self.unseen = (unseen and name not in ("html", "body")) or bool(parent and parent.unseen)
+        self.weight = min(weight, parent.weight) if parent else weight
+        self.inside = name in ("article", "main") or bool(parent and parent.inside)
+        self.linked = name == "a" or bool(parent and parent.linked)
         self.form = parent and parent.form or (self if name == "form" else None)
-        self.path = (parent.path if parent else "") + "/" + name + mark
-
-
-def _above(element: Element) -> Iterator[Element]:
-    while element.parent is not None:
-        element = element.parent
-        yield element
+        self.holder = self if name in BLOCKS or parent is None else parent.holder
+        self.path = paths.setdefault((parent and parent.path, name + mark), len(paths))
 
 
 class Block:
-    __slots__ = ("element", "parts")
+    """A run of text in one block element: its text, and how many of its characters are in links."""
+
+    __slots__ = ("element", "links", "parts", "text", "weight")
 
     def __init__(self, element: Element):
-        self.element, self.parts = element, []
+        self.element, self.parts, self.links, self.text, self.weight = element, [], 0, "", 1.0
 
 
-def _blocks(page: str) -> list[tuple[Element, str]]:
-    """(element, text) of the non-empty blocks outside boilerplate, in page order, white space as single spaces."""
-    root = Element("html", "", None)
-    stack, blocks, at, end = [root], [], 0, len(page)
+def parsed(page: str) -> tuple[list[Element], list[Block]]:
+    """All elements, parents first, and the non-empty blocks that are shown, in page order; linear in the page."""
+    paths: dict[tuple, int] = {}
+    root = Element("html", "", None, paths)
+    stack, elements, blocks, at, end = [root], [root], [], 0, len(page)
+    is_open: Counter = Counter()
     current: Block | None = None
 
     def say(text: str) -> None:
         nonlocal current
-        if stack[-1].outside:
+        top = stack[-1]
+        if top.unseen:
             return
         if current is None:
-            holder = next((e for e in reversed(stack) if e.name in BLOCKS), root)
-            current = Block(holder)
+            current = Block(top.holder)
             blocks.append(current)
-        current.parts.append(html.unescape(text) if "&" in text else text)
+        text = html.unescape(text) if "&" in text else text
+        current.parts.append(text)
+        if top.linked:
+            current.links += len(text.strip())
+
+    def cut(length: int) -> None:
+        for e in stack[length:]:
+            is_open[e.name] -= 1
+        del stack[length:]
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -119,49 +150,55 @@ def _blocks(page: str) -> list[tuple[Element, str]]:
         if not name:
             continue
         if m[1]:
-            if any(e.name == name for e in stack[1:]):
-                while stack[-1].name != name:
-                    if stack[-1].name in BLOCKS:
+            if is_open[name]:
+                length = len(stack) - 1
+                while stack[length].name != name:
+                    if stack[length].name in BLOCKS:
                         current = None
-                    stack.pop()
-                stack.pop()
+                    length -= 1
+                cut(length)
             if name in BLOCKS:
                 current = None
             continue
         if name in BLOCKS:
             current = None
-            for i in range(len(stack) - 1, 0, -1):
-                if name in CLOSED_BY.get(stack[i].name, ()):
-                    del stack[i:]
-                    break
-                if stack[i].name in FENCES:
-                    break
+            if any(is_open[before] and name in after for before, after in CLOSED_BY.items()):
+                for i in range(len(stack) - 1, 0, -1):
+                    if name in CLOSED_BY.get(stack[i].name, ()):
+                        cut(i)
+                        break
+                    if stack[i].name in FENCES:
+                        break
         if name == "html":
             continue
         if name == "br":
             say(" ")
             continue
-        element = Element(name, m[3], stack[-1])
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
             continue
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
+        element = Element(name, m[3], stack[-1], paths)
+        elements.append(element)
         stack.append(element)
-    out = []
+        is_open[name] += 1
+    for block in blocks:
+        block.text = _WHITE.sub(" ", "".join(block.parts)).strip()
+    blocks = [b for b in blocks if b.text]
+    held: Counter = Counter()
     for block in blocks:
-        text = _WHITE.sub(" ", "".join(block.parts)).strip()
-        if text:
-            out.append((block.element, text))
-    whole, held = 0, defaultdict(int)
-    for element, text in out:
-        whole += len(text)
-        held[element.form] += len(text)
-    return [(e, t) for e, t in out if e.form is None or held[e.form] * FORM_PARTS >= whole]
+        held[block.element.form] += len(block.text)
+    whole = sum(held.values())
+    for block in blocks:
+        e = block.element
+        small = e.form is not None and held[e.form] * FORM_PARTS < whole
+        block.weight = min(e.weight, AGAINST) if small else e.weight
+    return elements, blocks
 
 
-def _smooth(values: list[float], spread: float = 1.0) -> list[float]:
+def _smooth(values: list[float], spread: float = 0.5) -> list[float]:
     reach = range(-2, 3)
     weights = [math.exp(-(i * i) / (2 * spread * spread)) for i in reach]
     out = []
@@ -171,62 +208,81 @@ def _smooth(values: list[float], spread: float = 1.0) -> list[float]:
     return out
 
 
-def path_scores(blocks: list[tuple[Element, str]]) -> dict[str, float]:
-    """Fused ratio of every tag path."""
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for element, text in blocks:
-        length[element.path] += len(text)
-        marks[element.path] += len(_PUNCTUATION.findall(text))
-        count[element.path] += 1
-    by_text = _smooth([length[e.path] / count[e.path] for e, _ in blocks])
-    by_marks = _smooth([1 + marks[e.path] / count[e.path] for e, _ in blocks])
-    fused = defaultdict(float)
-    for (element, _), a, b in zip(blocks, by_text, by_marks):
-        fused[element.path] += math.log1p(a) * b
-    return {p: s / count[p] for p, s in fused.items()}
+def path_scores(blocks: list[Block]) -> dict[int, float]:
+    """Fused score of every tag path: text and punctuation ratios, text outside links, names."""
+    length, marks, links, count = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
+    for b in blocks:
+        path = b.element.path
+        length[path] += len(b.text)
+        marks[path] += len(_PUNCTUATION.findall(b.text))
+        links[path] += b.links
+        count[path] += 1
+    by_text = _smooth([length[b.element.path] / count[b.element.path] for b in blocks])
+    by_marks = _smooth([1 + marks[b.element.path] / count[b.element.path] for b in blocks])
+    score = defaultdict(float)
+    for b, text, mark in zip(blocks, by_text, by_marks):
+        names = b.weight * (FAVOUR if b.element.inside else 1)
+        path = b.element.path
+        score[path] += text * mark * names * max(0.0, 1 - links[path] / length[path]) ** 2
+    return {p: s / count[p] for p, s in score.items()}
+
+
+def content_paths(blocks: list[Block], threshold: float) -> set[int]:
+    """Paths whose score reaches ``threshold`` times the page's mean, weighted by text and names."""
+    scores = path_scores(blocks)
+    whole = sum(len(b.text) * b.weight for b in blocks)
+    mean = sum(scores[b.element.path] * len(b.text) * b.weight for b in blocks) / whole
+    return {p for p, s in scores.items() if s >= threshold * mean}
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     """The article's blocks joined by line breaks; empty if the page has none."""
-    blocks = _blocks(page or "")
+    elements, blocks = parsed(page or "")
     if not blocks:
         return ""
-    scores = path_scores(blocks)
-    mean = sum(scores[e.path] for e, _ in blocks) / len(blocks)
-    chosen = [(e, t) for e, t in blocks if scores[e.path] >= THRESHOLD * mean]
-    # Each chosen block speaks for the elements around it; an article or main element is the page's own word
-    # for where its text is, if it holds most of the chosen text.
-    weight: dict[Element, float] = defaultdict(float)
-    for element, text in chosen:
-        at = element
-        while at is not None:
-            weight[at] += len(text)
-            at = at.parent
-    whole = sum(len(t) for _, t in chosen)
-    for name in ("article", "main"):
-        # Pages with several articles are lists of them: all that hold chosen blocks are content.
-        holders = {e for e in weight if e.name == name}
-        outer = [e for e in holders if not any(a in holders for a in _above(e))]
-        if 2 * sum(weight[e] for e in outer) > whole:
-            break
-    else:
-        holders = set()
-    # Chosen blocks outside stay as well, with what lies between them.
-    if holders:
-        chosen_paths = {e.path for e, _ in chosen}
-        kept = [t for e, t in blocks if e in holders or any(a in holders for a in _above(e)) or e.path in chosen_paths]
-    else:
-        # The smallest element that holds all chosen text.
-        holder = max((e for e in weight if weight[e] == whole), key=lambda e: sum(1 for _ in _above(e)))
-        kept = [t for e, t in blocks if e is holder or holder in _above(e)]
-    return "\n".join(kept)
+    chosen = content_paths(blocks, threshold)
+    links, length = Counter(), Counter()
+    for b in blocks:
+        links[b.element.path] += b.links
+        length[b.element.path] += len(b.text)
+        if b.element.path in chosen:
+            b.element.chosen += len(b.text)
+    # Elements come after their parents: sums go up the tree in one pass, the outermost elements without chosen text down in another.
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.chosen += e.chosen
+    for e in elements:
+        e.bare = e.parent.bare if e.parent and e.parent.bare else (None if e.chosen else e)
+    first = next(i for i, b in enumerate(blocks) if b.element.path in chosen)
+    last = max(i for i, b in enumerate(blocks) if b.element.path in chosen)
+
+    def belongs(at: int, b: Block) -> bool:
+        e = b.element
+        if e.path in chosen:
+            return True
+        if b.weight < 1 or links[e.path] >= LINKED * length[e.path]:
+            return False
+        bare = e.bare or e
+        around = bare.parent
+        if around is None:
+            return first < at < last
+        if e.inside and (around.inside or bare.name not in CONTAINERS):
+            return True
+        # A heading leads its text; a container without chosen text stays only between chosen blocks.
+        if e.name in HEADINGS:
+            return around.name not in ("html", "body") or at < last
+        if bare.name in CONTAINERS or around.name in ("html", "body"):
+            return first < at < last
+        return True
+
+    return "\n".join(b.text for at, b in enumerate(blocks) if belongs(at, b))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page, from its whole html.
 
     A null or empty page has an empty text. Text inside a block becomes one line, its white space single
-    spaces; repeated rows give repeated results.
+    spaces; repeated rows give repeated results, an empty table no rows. Other columns are not looked at.
     """
 
     def extract(pages: pd.Series) -> pd.Series:

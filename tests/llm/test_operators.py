@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -371,17 +372,66 @@ LONG_TEXT = "Some long text, with marks; and more. It goes on, and on. " * 8
     f"<body><form action=x><input><div><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></div></form><form><p>Search</form></body>",
 ])
 def test_chosen_blocks_stay(page):
-    from rillbook.llm.html_text import THRESHOLD, _blocks, path_scores
+    from rillbook.llm.html_text import THRESHOLD, content_paths, parsed
 
-    blocks = _blocks(page)
-    scores = path_scores(blocks)
-    mean = sum(scores[e.path] for e, _ in blocks) / len(blocks)
+    _, blocks = parsed(page)
+    chosen = content_paths(blocks, THRESHOLD)
     got = html_text.main_text(page).split("\n")
     assert got.count(LONG_TEXT.strip()) == 2
-    assert all(t in got for e, t in blocks if scores[e.path] >= THRESHOLD * mean)
+    assert all(b.text in got for b in blocks if b.element.path in chosen)
     assert "Search" not in got and ("<h1>" not in page or got[0] == "The title")
 
 
+def test_scores_decide_about_names(spark):
+    """Menus, adverts and footers lose by their scores: without the threshold they stay."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    assert all(html_text.main_text(p, threshold=0.0) != html_text.main_text(p) for p in pages)
+    # No article element, no telling class: only text, marks and links are left to judge by.
+    page = (
+        "<body><div class=x1><ul>" + "".join(f"<li><a href=/{k}>Part {k}</a>" for k in range(30)) + "</ul></div>"
+        "<div class=x2><p>Buy one now, get two.</p></div>"
+        f"<div class=x3><h1>The title</h1><div><p>{LONG_TEXT}</p><p>Short.</p><ul><li>one<li>two</ul><p>{LONG_TEXT}</p></div></div>"
+        "<div class=x4><p>Company, street, town.</p><a href=/i>Imprint</a></div></body>"
+    )
+    long = LONG_TEXT.strip()
+    assert html_text.main_text(page) == "\n".join(["The title", long, "Short.", "one", "two", long])
+    off = html_text.main_text(page, threshold=0.0)
+    assert "Part 7" in off and "Buy one now, get two." in off and "Imprint" in off
+
+
+@pytest.mark.parametrize("name", ["related-work", "legal", "search", "share", "alert", "side", "notice-period"])
+def test_names_that_may_be_an_article(name):
+    page = f"<article><h1>T</h1><p>{LONG_TEXT}</p><div class={name}><p>{LONG_TEXT}{LONG_TEXT}</p></div></article><footer>Imprint, legal.</footer>"
+    assert html_text.main_text(page).count("Some long text") == 24
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<p>{LONG_TEXT}</p><!--><p>{LONG_TEXT}</p><!-- x --><p>{LONG_TEXT}</p><!--->", "\n".join([LONG_TEXT.strip()] * 3)),
+    (f"<article><header><h1>Title</h1></header><p>{LONG_TEXT}</p></article><header><p>Site</p></header>", "Title\n" + LONG_TEXT.strip()),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p></article>", "Let x=1 hold."),
+    (f"<article><p>{LONG_TEXT}</p><div class='user-comments'><article><p>{LONG_TEXT}</p></article></div></article>", LONG_TEXT.strip()),
+    (f"<article><p>Tiny.</p></article><footer><p>{LONG_TEXT}</p></footer>", "Tiny."),
+])
+def test_parts_of_a_page(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_deep_pages_take_linear_time():
+    started = time.process_time()
+    for page in ("<div>x" * 50_000, "<div class=a><p>" * 50_000 + "deep", "<i>" * 50_000 + "<hr>t" * 50_000, "<b>" * 50_000 + "</u>" * 50_000):
+        html_text.main_text(page)
+    assert html_text.main_text("<div class=a>" * 50_000 + "deep") == "deep"
+    assert time.process_time() - started < 60
+
+
+def test_pages_with_clashing_names_and_without_rows(spark):
+    rows = [(1, "u", "<p>One.", "x", 5), (1, "u", "<p>One.", "x", 5), (None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars bigint")
+    got = html_text.extracted(table).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "One.", 4), (1, "One.", 4)]
+    assert html_text.extracted(table.filter("false")).collect() == []
+
+
 # 7
 
 
