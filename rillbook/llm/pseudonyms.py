@@ -2,7 +2,8 @@
 
 Validated values change into other valid values of their own format; equal values change alike in all
 documents, whatever separators they are written with, so records stay linked. Without the key nobody
-can tell which value stood there.
+can tell which value stood there. What stays in clear by design: the domain of an e-mail address, the country
+code of a phone number, the first digit of a card, the form of a date.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ PHONE = (
 CARD_RUN = (
     _FREE + r"(?<![0-9]\.)(?=(?:[0-9][ -]?){13})[0-9]++" + _DONE + r"(?:[ -](?!" + "|".join([IP, DATE, SSN, _LOCAL]) + r")[0-9]++" + _DONE + ")*+"
 )
+#: Country codes of one and two digits; all others have three. None is the beginning of another.
+COUNTRY = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 KINDS = {"email": EMAIL, "ip": IP, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD_RUN}
 #: Any of the kinds.
 ANY = "|".join(KINDS.values())
@@ -101,11 +104,27 @@ def permuted_digits(key: str, kind: str, digits: Column) -> Column:
     return moved[0]
 
 
+#: Runs of letters in other scripts, as first code point and number of letters: Latin with marks,
+#: Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, Hiragana, Katakana, Han, Hangul.
+SCRIPTS = (
+    (0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 7), (0x100, 48), (0x14A, 46), (0x391, 17), (0x3A3, 7), (0x3B1, 25), (0x410, 32), (0x430, 32),
+    (0x5D0, 27), (0x621, 26), (0x641, 10), (0x905, 53), (0xE01, 46), (0x3041, 86), (0x30A1, 90), (0x4E00, 20902), (0xAC00, 11172),
+)
+
+
+def _moved_letter(c: Column, by: Column) -> Column:
+    """A letter of another script moved within its run; whatever is in no run stays."""
+    point = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("bigint")
+    new = reduce(lambda rest, run: F.when(point.between(run[0], run[0] + run[1] - 1), (point - run[0] + by) % run[1] + run[0]).otherwise(rest),
+                 SCRIPTS, F.lit(None).cast("bigint"))
+    return F.coalesce(F.decode(F.unhex(F.lpad(F.hex(new), 4, "0")), "UTF-16BE"), c)
+
+
 def _shifted(text: Column, stream: Column) -> Column:
     """Every letter and digit moved within its own alphabet by a byte of the stream."""
     def move(c: Column, j: Column) -> Column:
         by = F.conv(F.substr(stream, 2 * (j % 32) + 1, F.lit(2)), 16, 10).cast("int")
-        out = c
+        out = F.when(c > "\x7f", _moved_letter(c, by)).otherwise(c)
         for alphabet in (_DIGITS, _LOWER, _UPPER):
             at = F.instr(F.lit(alphabet), c)
             out = F.when((c != "") & (at > 0), F.substr(F.lit(alphabet), (at - 1 + by) % len(alphabet) + 1, F.lit(1))).otherwise(out)
@@ -115,7 +134,7 @@ def _shifted(text: Column, stream: Column) -> Column:
 
 
 def permuted_name(key: str, kind: str, text: Column) -> Column:
-    """A permutation of the texts of one shape; characters other than ASCII letters and digits stay."""
+    """A permutation of the texts of one shape; characters other than digits, ASCII letters and those of ``SCRIPTS`` stay."""
     n = F.length(text)
     left = F.floor(n / 2).cast("int")
     start = F.struct(F.substr(text, F.lit(1), left).alias("a"), F.substr(text, left + 1, n).alias("b"))
@@ -203,10 +222,10 @@ def _date(key: str, m: Column) -> Column:
 
 
 def _phone(key: str, m: Column) -> Column:
-    """The country code stays; all other digits change together."""
-    country = F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)
-    rest = F.substr(m, F.length(country) + 1, F.length(m))
-    return F.concat(country, _refilled(rest, permuted_digits(key, "phone", _digits(rest))))
+    """The country code stays; all other digits change together, wherever separators stand."""
+    d = _digits(m)
+    country = F.when(m.startswith("+"), F.regexp_extract(d, COUNTRY, 0)).otherwise(F.lit(""))
+    return _refilled(m, F.concat(country, permuted_digits(key, "phone", F.substr(d, F.length(country) + 1, F.length(d)))))
 
 
 def _card(key: str, m: Column) -> Column:
@@ -219,8 +238,16 @@ def _card(key: str, m: Column) -> Column:
 
 
 def _ssn(key: str, m: Column) -> Column:
-    """Area 001 to 899 and serial change; the group stays unless it is 00."""
-    return _refilled(m, permuted_digits(key, "ssn", _digits(m)))
+    """A permutation of the valid numbers: areas 001 to 899 but 666, groups from 01, serials from 0001."""
+    d = _digits(m)
+    area, group, serial = (F.substring(d, at, n).cast("bigint") for at, n in ((1, 3), (4, 2), (6, 4)))
+    moved = _pair(key, "ssn", area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999))
+
+    def written(q: Column) -> Column:
+        new = (q["a"] + F.when(q["a"] >= 665, 2).otherwise(1), F.floor(q["b"] / 9999) + 1, q["b"] % 9999 + 1)
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in zip(new, (3, 2, 4))])
+
+    return F.transform(F.array(moved), written)[0]
 
 
 def kind_of(m: Column) -> Column:
