@@ -177,6 +177,40 @@ def _pseudonymised(spark, *texts):
     return [r for r in pseudonyms.pseudonym_report(table).sort("doc_id").collect()]
 
 
+def test_one_number_has_one_pseudonym(spark):
+    forms = {
+        "826 555 4081": ["+1 826 555 4081", "+18265554081", "+1 (826) 555-4081", "+1-826-555-4081", "(826) 555-4081", "826-555-4081"],
+        "30 12345678": ["+49 30 12345678", "+493012345678", "+49 (30) 1234 5678", "+49-30-1234-5678"],
+        "1 53 55 78": ["+353 1 535 5782", "+35315355782"],
+    }
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    for written in forms.values():
+        got = _pseudonymised(spark, *written)
+        assert all(r.n_phone == 1 for r in got), [r.text for r in got]
+        code = "1" if "826" in written[0] else digits(written[0])[: 3 if written[0].startswith("+353") else 2]
+        new = {digits(r.text)[len(code) :] if r.text.startswith("+") else digits(r.text) for r in got}
+        assert len(new) == 1 and new != {digits(written[0])[len(code) :]}
+        assert all(digits(r.text).startswith(code) for r in got if r.text.startswith("+"))
+        assert [re.sub("[0-9]", "9", r.text) for r in got] == [re.sub("[0-9]", "9", w) for w in written]
+
+
+def test_social_security_numbers_stay_valid(spark):
+    rows = spark.range(10_000).select(F.format_string("%03d-%02d-%04d", F.col("id") % 665 + 1, F.col("id") % 99 + 1, F.col("id") % 9999 + 1).alias("m"))
+    new = [r.p for r in rows.select(pseudonyms._ssn("k", F.col("m")).alias("p")).collect()]
+    assert len(set(new)) == rows.distinct().count() and all(re.fullmatch(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", p) for p in new)
+
+
+def test_addresses_in_other_scripts(spark):
+    names = ["иван", "jürgen.müller", "山田太郎", "αλέξης"]
+    got = _pseudonymised(spark, *[f"{n}@example.com" for n in names])
+    for name, r in zip(names, got):
+        new = r.text.removesuffix("@example.com")
+        assert r.n_email == 1 and new != name and len(new) == len(name) and new.count(".") == name.count(".")
+    rows = spark.range(1024).select(F.concat(*[F.decode(F.unhex(F.lpad(F.hex(0x430 + F.floor(F.col("id") / d) % 32), 4, "0")), "UTF-16BE") for d in (1, 32)]).alias("m"))
+    moved = {r.p for r in rows.select(pseudonyms.permuted_name("k", "x", F.col("m")).alias("p")).collect()}
+    assert len(moved) == 1024 and all(re.fullmatch("[а-я]{2}", p) for p in moved)
+
+
 def test_pseudonyms_of_neighbours(spark):
     phone, ip, card = "+1 (826) 555-4081", "190.137.223.204", "4111 1111 1111 1111"
     got = _pseudonymised(
@@ -509,6 +543,61 @@ def test_records_of_added_tokens(spark):
 # 9
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.""",
+    "BSD-3-Clause": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 3. Neither the name of the copyright holder nor the names of its contributors
+ *    may be used to endorse or promote products derived from this software.
+ *
+ * THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+ * "AS IS" AND ANY EXPRESS WARRANTIES ARE DISCLAIMED.""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the
+GNU General Public License as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation.""",
+}
+SHORT = {
+    "This project is released under the MIT License.": "MIT", "This software is licensed under the Apache License 2.0.": "Apache-2.0",
+    "// SPDX-License-Identifier: MIT\n#include <x>": "MIT", "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+    "The licence of this program was free to all.": "", "Permission was granted, in parts": "", "License: MIT License": "MIT",
+}
+
+
+def test_wrapped_licences(spark):
+    import duckdb
+
+    texts = {f"Some head.\n\n{t}\n\nSome end.": k for k, t in WRAPPED.items()} | SHORT
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(licences.scanned(table).collect())
+    assert {t: r.licences for t, r in zip(texts, got)} == texts
+    con = duckdb.connect()
+    con.register("documents", table.toPandas())
+    sql = sorted(con.sql(f"SELECT doc_id, n_sentences, sentence_ids, licences FROM ({licences.oracle()})").fetchall())
+    assert [tuple(r) for r in got] == sql
+
+
 def test_licence_rules(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\").\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nThe software is provided \"as is\", without warranty."
     rows = [(1, mit), (2, "Text. Released under the MIT License. More"), (3, "Licensed under the Apache License, Version 2.0."), (4, "no licence here"), (5, None)]
