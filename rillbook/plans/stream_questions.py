@@ -174,6 +174,8 @@ def user_order(t):
 
 #: How late an event may be, how long messages wait for earlier ones, and micro-batches of the input.
 FLOW_LATE, FLOW_DELAY, FLOW_BATCHES = timedelta(hours=2), timedelta(minutes=15), 3
+#: Messages of one file of a micro-batch.
+FLOW_FILE_ROWS = 100_000
 #: A message is taken in every ten seconds, up to ten minutes late.
 RECEIVED_US = '(1704067200 + "offset" * 10 + ("offset" * 7919) % 600) * 1000000'
 
@@ -201,14 +203,18 @@ def _flow(t, name: str) -> tuple[DataFrame, str]:
     rows = t.raw_messages.withColumn("received", F.timestamp_seconds(seconds))
     last = rows.agg(F.max("offset").alias("last")).select(F.coalesce("last", F.lit(0)).alias("last"))
     placed = rows.crossJoin(F.broadcast(last)).withColumn("part", F.least(F.floor(F.col("offset") * FLOW_BATCHES / (F.col("last") + 1)), F.lit(FLOW_BATCHES - 1))).drop("last")
+    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
+    # Every micro-batch has this number of files; no part has so few rows that one of them would be left out.
+    files = max(1, min(sizes.get(i, 0) for i in range(FLOW_BATCHES)) // FLOW_FILE_ROWS)
     for i in range(FLOW_BATCHES):
-        placed.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        part = placed.filter(F.col("part") == i).drop("part")
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(f"{base}/in")
     beat = last.select(
         F.lit(flow.HEARTBEAT).alias("topic"), F.lit(0).alias("partition"), F.lit(0).cast("bigint").alias("offset"), F.lit(None).cast("string").alias("key"),
         F.lit(None).cast("string").alias("value"), F.timestamp_seconds(F.col("last") * 10 + 1704067200 + 86400).alias("received"),
     )
     beat.write.mode("append").parquet(f"{base}/in")
-    return file_stream(t.spark, f"{base}/in", max_files=1, with_time=True), base
+    return file_stream(t.spark, f"{base}/in", max_files=files, with_time=True), base
 
 
 def _pipeline(t, name: str) -> str:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rillbook.plans import stream_questions
 from rillbook.schemas import RECEIVED
 from rillbook.sources.messages import file_stream
 from rillbook.sources.storage import scratch
@@ -97,3 +98,32 @@ def test_a_repeated_batch_replaces_itself(spark):
     for i in (0, 0, 1):
         handler(batch, i)
     assert [flow.pipeline_table(spark, path, n).count() for n in flow.TABLES] == [2, 2, 2, 0, 0, 0]
+
+
+def test_users_share_keys(spark):
+    """A key holds many users, whose labels, numbers and counts stay apart over batches; long contact ids stay exact."""
+    draw = random.Random(9)
+    rows = [message("a", 0, i, i + draw.randint(0, 50), f"u{draw.randint(0, 39)}", draw.choice(["DROP", "PICKUP"]), i + draw.randint(-20, 0)) for i in range(200)]
+    long = 2**53 + 1
+    rows = [(*r[:4], r[4].replace(":7:", f":{long}:"), r[5]) for r in rows]
+    json = '{"eventId":"e","userId":"u1","eventType":"EMAIL_OPEN","timestamp":"2024-03-01T00:00:00Z"}'
+    base = scratch(spark, "t-flow-keys")
+    for part in (rows[:100], rows[100:] + [("b", 0, 999, None, json, T0 + 900 * SEC)], [heartbeat(2000)]):
+        spark.createDataFrame(part, RECEIVED).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = file_stream(spark, f"{base}/in", max_files=1, with_time=True)
+    out = flow.processed(stream, 5000, 60 * SEC, spread=2, keys=3)
+    jobs.finish(jobs.start_batches(out, jobs.write_updates(f"{base}/out"), f"{base}/cp"))
+    got = [r for r in spark.read.parquet(f"{base}/out").collect() if r.topic == "a"]
+    assert {r.offset: (r.user_id, r.event_type, r.label, r.late_ms, r.sequence_nr) for r in got} == {k[2]: v for k, v in expected(rows).items()}
+    assert len(got) == 200 and len({r.flow_key for r in got}) <= 3 and {r.contact_id for r in got} == {long}
+
+
+def test_a_micro_batch_has_many_files(spark, tables, monkeypatch):
+    """Staging is no single task; micro-batches keep their parts of the input."""
+    monkeypatch.setattr(stream_questions, "FLOW_FILE_ROWS", 50)
+    stream, base = stream_questions._flow(tables, "t-flow-files")
+    n = tables.raw_messages.count() // stream_questions.FLOW_BATCHES // 50
+    assert n > 3 and len(spark.read.parquet(f"{base}/in").inputFiles()) == 3 * n + 1
+    jobs.finish(jobs.start_batches(stream, jobs.write_updates(f"{base}/out"), f"{base}/cp"))
+    spans = spark.read.parquet(f"{base}/out").filter("topic <> 'heartbeat'").groupBy("batch_id").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi")).orderBy("lo").collect()
+    assert [r.batch_id for r in spans] == [0, 1, 2] and all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
