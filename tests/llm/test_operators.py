@@ -132,6 +132,23 @@ def test_forest_odd_vectors(spark):
     assert forest_search.nearest(_vectors(spark, bad[:1])).collect() == []
 
 
+@pytest.mark.parametrize("lengths", ["even", "lognormal", "few long"])
+def test_forest_finds_all_on_other_vectors(spark, lengths):
+    """Rows of unlike lengths, whose nearest are far from each other in the trees."""
+    draw = np.random.default_rng(3)
+    m = draw.normal(size=(6000, 32))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    m *= {"even": 1, "lognormal": draw.lognormal(0, 1, (6000, 1)), "few long": np.where(draw.random((6000, 1)) < 0.004, 30, 1)}[lengths]
+    m = m.astype(np.float32).astype(float)
+    got = collections.defaultdict(list)
+    for r in forest_search.nearest(_vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(m)])).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for i in range(0, 6000, 20):
+        scores = m @ m[i]
+        scores[i] = -np.inf
+        assert got[i] == np.argsort(-scores, kind="stable")[:20].tolist()
+
+
 def test_forest_many_copies(spark):
     """Copies that no plane can part; blocks cut their leaf."""
     rows = [(i, [1.0, 2.0, 3.0], 0) for i in range(500)] + [(1000 + i, [1.0, 2.0, float(i % 7)], 0) for i in range(100)]
