@@ -323,6 +323,10 @@ def rolling_hour(t):
     return kept.filter(F.col("window_end") > as_of(t.comm_events) - span(timedelta(hours=1)))
 
 
+#: Samples of a micro-batch: an alert type's readings in one are one task, so this bounds its memory.
+ALERT_ROWS = 2_000_000
+
+
 @question(
     "i10_stream_alerts",
     "samples",
@@ -330,5 +334,19 @@ def rolling_hour(t):
     UNION ALL SELECT alert_type, seq, ts, value, 'CLEARED' FROM r WHERE NOT breach AND after_breach""",
 )
 def stream_alerts(t):
-    stream, base = _stream(t, t.samples, "i10")
+    rows, base = t.samples, scratch(t.spark, "i10")
+    _in_time_order(rows, base, -(-rows.count() // ALERT_ROWS))
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     return _table(t, jobs.alert_stream(stream), base).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _in_time_order(rows: DataFrame, base: str, parts: int) -> None:
+    """Stage samples as they come in: files one after the other, each of about equally many rows and later than the last."""
+    if parts <= 1:
+        rows.coalesce(1).write.parquet(f"{base}/in")
+        return
+    dealt = rows.repartitionByRange(parts, F.asc_nulls_last("ts"), "seq").withColumn("part", F.spark_partition_id())
+    dealt.write.partitionBy("part").parquet(f"{base}/dealt")
+    dealt = rows.sparkSession.read.schema(dealt.schema).parquet(f"{base}/dealt")
+    for i in range(parts):
+        dealt.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")

@@ -120,18 +120,23 @@ class AlertState(StatefulProcessor):
         self.last = handle.getValueState("last_alert", "us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _rows(rows, ["ts", "seq"])
+        # Only the columns needed, as plain arrays: an alert type is one key, however many readings it has.
+        parts = [(c["ts"].to_numpy("datetime64[us]"), c["seq"].to_numpy(), c["value"].to_numpy(), c["breach"].to_numpy(bool)) for c in rows]
+        ts, seq, value, breaches = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.lexsort((seq, ts))
+        us = ts.astype("int64")
         state = self.last.get()
         last = None if state is None else state[0]
         picked: list[int] = []
         events: list[str] = []
-        us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        for i, breach in enumerate(pdf["breach"].to_numpy()):
-            if breach and (last is None or us[i] - last >= self.cooldown_us):
-                last = int(us[i])
-                picked.append(i)
-                events.append("RAISED")
-            elif not breach and last is not None:
+        for i, at, breach in zip(order.tolist(), us[order].tolist(), breaches[order].tolist()):
+            if breach:
+                if last is None or at - last >= self.cooldown_us:
+                    last = at
+                    picked.append(i)
+                    events.append("RAISED")
+            elif last is not None:
                 last = None
                 picked.append(i)
                 events.append("CLEARED")
@@ -139,7 +144,7 @@ class AlertState(StatefulProcessor):
             self.last.clear()
         else:
             self.last.update((last,))
-        yield pdf.loc[picked, ["alert_type", "seq", "ts", "value"]].assign(event=events)
+        yield pd.DataFrame({"alert_type": key[0], "seq": seq[picked], "ts": ts[picked].astype("datetime64[ns]"), "value": value[picked], "event": events})
 
     def close(self) -> None:
         pass

@@ -1,11 +1,14 @@
 """Streams over several micro-batches end where the batch job does."""
 
 import datetime as dt
+import os
 import time
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
 from rillbook.operators import alerts, ingest, quality, sequence, state
+from rillbook.plans import stream_questions
 from rillbook.sources.messages import file_stream
 from rillbook.sources.storage import read_batches, scratch
 from rillbook.streaming import jobs
@@ -53,6 +56,20 @@ def test_alerts_in_three_parts(spark, tables):
     same(got.withColumn("ts", F.col("ts").cast("timestamp_ntz")), alerts.alert_transitions(tables.samples))
 
 
+def test_alerts_take_bounded_batches(spark, tables, monkeypatch):
+    """Many micro-batches in time order give the alerts of one; none has more than its share of the samples."""
+    samples = tables.samples.orderBy(F.rand(5))
+    n = samples.count()
+    monkeypatch.setattr(stream_questions, "ALERT_ROWS", n // 4 + 1)
+    base = scratch(spark, "t-alerts-staged")
+    stream_questions._in_time_order(samples, base, 4)
+    files = spark.read.parquet(f"{base}/in").groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy("lo").collect()
+    assert sum(r.n for r in files) == n and len(files) == 4 and all(a.hi < b.lo for a, b in zip(files, files[1:]))
+    times = [os.path.getmtime(unquote(r.f.removeprefix("file:").replace("///", "/"))) for r in files]
+    assert times == sorted(times)
+    same(stream_questions.stream_alerts(tables), alerts.alert_transitions(tables.samples))
+
+
 def test_channel_updates_in_three_parts(spark, tables):
     ev = tables.comm_events
 
