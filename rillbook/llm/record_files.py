@@ -12,15 +12,16 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from rillbook.llm.chunks import ChunkMemo
+from rillbook.llm.chunks import ChunkEncoder, pack_each
 from rillbook.llm.common import scratch, shuffles, stored
 
 #: A record file is closed once it holds so many bytes; one longer document is one record all the same.
@@ -70,55 +71,39 @@ def sequence(payload: memoryview) -> tuple[int | None, np.ndarray]:
     return doc_id if flags & 1 else None, np.frombuffer(payload[ID_BYTES:], "<u4" if flags & 2 else "<u2").astype("<u4")
 
 
-class WholeMemo(ChunkMemo):
-    """Texts that hold the literal of an added token are encoded whole, as such a token ends a chunk anywhere."""
-
-    def __init__(self, encode_one: Callable[[str], bytes], literals: list[str], **options):
-        super().__init__(encode_one, **options)
-        self.literals = literals
-
-    def is_whole(self, text: str) -> bool:
-        return any(x in text for x in self.literals)
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_one(text) if self.is_whole(text) else super().encode(text)
-
-    def learn(self, texts: list[str]) -> None:
-        super().learn([t for t in texts if not self.is_whole(t)])
+#: Chunks per call of the library.
+CALL = 2_000
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WholeMemo:
-    """One per Python worker. Only a tokenizer that splits like the chunks may be used: byte-level, by pattern."""
+def tokenizer(path: str) -> ChunkEncoder:
+    """One per Python worker. Only a tokenizer that splits like the chunks may be used: byte-level, by pattern.
+
+    Texts that hold the literal of an added token are encoded whole, as such a token ends a chunk anywhere.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     one = Tokenizer.from_file(path)
-    literals = [t.content for t in one.get_added_tokens_decoder().values()]
-
-    def encode(chunk: str) -> bytes:
-        ids = one.encode(chunk, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def words(part: list[str]) -> list[bytes]:
-        joined = " " + " ".join(part)
-        if any(x in joined for x in literals):
-            return [encode(" " + w) for w in part]
-        both = one.encode(joined, add_special_tokens=False)
-        ids, ends = np.array(both.ids, "<u4").tobytes(), np.searchsorted(both.word_ids, np.arange(len(part) + 1)) * 4
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    def encode(chunks: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(chunks), CALL):
+            out += pack_each([e.ids for e in one.encode_batch_fast(chunks[at : at + CALL], add_special_tokens=False)])
+        return out
 
-    return WholeMemo(encode, literals, limit=900_000, encode_words=words)
+    return ChunkEncoder(encode, [t.content for t in one.get_added_tokens_decoder().values()])
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
+def _put(folder: str, name: str, parts: list[bytes]) -> None:
     """Write a file under a name of its own, then move it: a repeated task leaves one whole file."""
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
     spare = f"{root}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(spare) as out:
-        out.write(data)
+        for part in parts:
+            out.write(part)
     store.move(spare, f"{root}/{name}")
 
 
@@ -139,36 +124,36 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int, file_byt
     # A folder without a scheme lies where Spark's own readers look for it.
     qualified = store.makeQualified(place).toString()
     uri = qualified if "://" in qualified else qualified.replace("file:", "file://", 1)
-    end = struct.pack("<I", end_id)
+    end = np.array([end_id], "<u4")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, memo = TaskContext.get().partitionId(), tokenizer(path)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, encoder = TaskContext.get().partitionId(), tokenizer(path)
         done, frames, offsets, size, ids = [], [], [], 0, 0
 
         def close():
             nonlocal frames, offsets, size, ids
             name = f"part-{part:06d}-{len(done):05d}"
-            _put(uri, f"{name}.rec", b"".join(frames))
-            _put(uri, f"{name}.idx", np.array(offsets, "<u8").tobytes())
+            _put(uri, f"{name}.rec", frames)
+            _put(uri, f"{name}.idx", [np.array(offsets, "<u8").tobytes()])
             done.append((f"{name}.rec", part, len(done), len(frames), ids, size))
             frames, offsets, size, ids = [], [], 0, 0
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part_rows = batch.iloc[at : at + 256]
-                memo.learn(part_rows.text.tolist())
-                for known, doc_id, text in zip(part_rows.known, part_rows.doc_id, part_rows.text):
-                    packed = np.frombuffer(memo.encode(text) + end, "<u4")
-                    wide = int(packed.max()) > 0xFFFF
-                    framed = frame(struct.pack(ID, known | wide << 1, doc_id) + packed.astype("<u4" if wide else "<u2").tobytes())
-                    if frames and size + len(framed) > file_bytes:
-                        close()
-                    offsets.append(size)
-                    frames.append(framed)
-                    size, ids = size + len(framed), ids + len(packed)
+            known, doc_id, text = batch.columns
+            for k, i, own in zip(known.to_pylist(), doc_id.to_pylist(), encoder.encode(text)):
+                packed = np.concatenate((own, end))
+                wide = int(packed.max()) > 0xFFFF
+                framed = frame(struct.pack(ID, k | wide << 1, i) + packed.astype("<u4" if wide else "<u2").tobytes())
+                if frames and size + len(framed) > file_bytes:
+                    close()
+                offsets.append(size)
+                frames.append(framed)
+                size, ids = size + len(framed), ids + len(packed)
         if frames:
             close()
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in _WRITTEN.split(", ")])
+        kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+        kept = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, _WRITTEN.split(", "))])
+        yield pa.RecordBatch.from_pylist([dict(zip(kept.names, row)) for row in done], kept)
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
@@ -178,7 +163,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int, file_byt
     )
     order = ["known", "doc_id", "tie"]
     ranged = rows.repartitionByRange(max(1, shuffles(docs)), *order).sortWithinPartitions(*order).drop("tie")
-    return stored(ranged.mapInPandas(write, _WRITTEN), "record-list")
+    return stored(ranged.mapInArrow(write, _WRITTEN), "record-list")
 
 
 _READ = "file string, place bigint, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint"
