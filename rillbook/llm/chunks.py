@@ -7,7 +7,6 @@ distinct ones and puts the ids of all together again, and only distinct chunks t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from itertools import accumulate, chain, pairwise
 
@@ -130,59 +129,6 @@ class ChunkEncoder:
             row = stop
 
 
-#: White space next to a space: the chunks around it must stay together.
-_WIDE = re.compile(r"\s | \s|\A |\s\Z")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-_STOPS = frozenset(",.;:!?")
-
-
-def chunk_text(text: str) -> list[str]:
-    """The first chunk as it is, the others without the space they start with."""
-    return _SAFE.split(text) if _WIDE.search(text) else text.split(" ")
-
-
-class ChunkMemo(dict):
-    """Token ids per chunk as packed little-endian 32-bit numbers.
-
-    ``encode_one`` encodes a chunk, its leading space included. Beyond ``limit`` chunks the memo starts
-    anew, and chunks over ``longest`` characters are not kept; results do not depend on either.
-    """
-
-    def __init__(
-        self, encode_one: Callable[[str], bytes], limit: int = 250_000, longest: int = 64,
-        encode_words: Callable[[list[str]], list[bytes]] | None = None,
-    ):
-        super().__init__()
-        self.encode_one, self.limit, self.longest, self.encode_words = encode_one, limit, longest, encode_words
-
-    def __missing__(self, chunk: str) -> bytes:
-        if chunk[-1:] in _STOPS and chunk[:-1].isalpha():
-            # Letters and what follows them are different pieces.
-            ids = self[chunk[:-1]] + self.encode_one(chunk[-1])
-        else:
-            ids = self.encode_one(" " + chunk)
-        if len(chunk) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        first, *rest = chunk_text(text)
-        return self.encode_one(first) + b"".join(map(self.__getitem__, rest))
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode the unknown words of letters only of these texts together, which costs less than one by one."""
-        if len(self) > self.limit:
-            self.clear()
-        new = set().union(*(t.split(" ") for t in texts)).difference(self)
-        words = {w[:-1] if w[-1:] in _STOPS else w for w in new}
-        words = [w for w in words if len(w) <= self.longest and w.isalpha() and w not in self]
-        for i in range(0, len(words), 2_000):
-            part = words[i : i + 2_000]
-            self.update(zip(part, self.encode_words(part)))
-
-
 def pack_each(lists: list[list[int]]) -> list[bytes]:
     data = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
     return [data[a:b] for a, b in pairwise(accumulate((4 * len(ids) for ids in lists), initial=0))]

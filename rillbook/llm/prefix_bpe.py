@@ -13,10 +13,11 @@ import struct
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from rillbook.llm.chunks import ChunkMemo, unpack
+from rillbook.llm.chunks import ChunkEncoder, pack_each, unpack
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -129,6 +130,14 @@ class PrefixTable:
         self._fill(begin, len(self.data))
         return self
 
+    def become(self, data: bytes) -> PrefixTable:
+        """The table of other data: entries of the prefixes that both have stay as they are."""
+        same = next((k for k, (a, b) in enumerate(zip(self.data, data)) if a != b), min(len(self.data), len(data)))
+        self.data = data
+        del self.last[same + 1 :]
+        self._fill(same, len(data))
+        return self
+
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in place of bytes ``start`` to ``stop``; the number of entries that were built anew.
 
@@ -161,39 +170,36 @@ class PrefixTable:
 
 
 class Encoder:
-    """Texts to ids: each match of the pattern by its own table, whole-piece tokens as they are."""
-
-    def __init__(self, vocabulary: Vocabulary, pieces: int = 120_000):
-        self.vocabulary, self.most = vocabulary, pieces
-        self._pieces: dict[str, bytes] = {}
-        self._chunks = ChunkMemo(self._chunk)
-
-    def _piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _chunk(self, chunk: str) -> bytes:
-        if len(self._pieces) > self.most:
-            self._pieces.clear()
-        # A word of plain letters is one piece.
-        letters = chunk[1:] if chunk[:1] == " " else chunk
-        out = []
-        for piece in (chunk,) if letters.isascii() and letters.isalpha() else self.vocabulary.pattern.findall(chunk):
-            if (ids := self._pieces.get(piece)) is None:
-                ids = self._piece(piece)
-                if len(piece) <= 64:
-                    self._pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+    """Texts to ids: each match of the pattern by a table, whole-piece tokens as they are.
+
+    New pieces come in order of their bytes, so that one table serves a piece after the other and only
+    what is behind their common beginning is built.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.chunks = vocabulary, ChunkEncoder(self._chunks)
+        self.spelled = pa.array([vocabulary.bytes_of.get(i) for i in range(max(vocabulary.bytes_of) + 1)], pa.large_binary())
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        parts = []
+        for chunk in chunks:
+            # A word of plain letters is one piece.
+            letters = chunk[1:] if chunk[:1] == " " else chunk
+            parts.append((chunk,) if letters.isascii() and letters.isalpha() else self.vocabulary.pattern.findall(chunk))
+        pieces = sorted(set().union(*parts))
+        table, whole = PrefixTable(self.vocabulary), self.vocabulary.ranks.get
+        found = ([i] if (i := whole(data)) is not None else table.become(data).ids() for data in map(str.encode, pieces))
+        ids = dict(zip(pieces, pack_each(list(found))))
+        return [ids[p[0]] if len(p) == 1 else b"".join(map(ids.__getitem__, p)) for p in parts]
 
     def encode(self, text: str) -> bytes:
         """Packed ids."""
-        return self._chunks.encode(text)
+        return next(self.chunks.encode(pa.array([text]))).tobytes()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, unpack(ids).tolist()))
+        found = self.spelled.take(pa.array(unpack(ids)))
+        ends, data = found.buffers()[1:]
+        return b"" if data is None else data.slice(0, struct.unpack_from("<q", ends, 8 * len(found))[0]).to_pybytes()
 
 
 @lru_cache(maxsize=2)
@@ -214,10 +220,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
     def encode(texts: pd.Series) -> pd.DataFrame:
         enc, rows = encoder(path, pattern), []
-        for text in texts:
-            ids = enc.encode(text or "")
-            row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest())
-            rows.append((*row, unpack(ids).tolist()) if with_ids else row)
+        for found in enc.chunks.encode(pa.array(texts, pa.large_string(), from_pandas=True)):
+            ids = found.tobytes()
+            row = (len(found), hashlib.sha256(ids).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest())
+            rows.append((*row, found.tolist()) if with_ids else row)
         return pd.DataFrame(rows, columns=[k.split()[0] for k in kinds.split(", ")])
 
     return docs.select("doc_id", F.pandas_udf(encode, kinds)(F.col("text")).alias("e")).select("doc_id", "e.*")

@@ -1,14 +1,15 @@
 """Texts cut into chunks, each distinct one encoded once."""
 
+import base64
 import random
 
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
 
-from rillbook.llm import chunks, record_files
+from rillbook.llm import chunks, prefix_bpe, record_files
 
-JSON = P.path("byte_bpe_50k.json")
+JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 AWKWARD = " \n\t\r\x0b\x1c\x85\xa0  　​ ab'sStreldñÉßд中😀!?,.-–…×÷09²٣́\x00"
 
 
@@ -50,3 +51,42 @@ def test_record_chunks_like_the_library(monkeypatch, options):
     got = [i.tolist() for i in encoder.encode(pa.array(["cut off", *texts, "too"])[1:-1])]
     assert got == [tk.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert list(encoder.encode(pa.array([], pa.string()))) == []
+
+
+@pytest.fixture(scope="module")
+def library():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_tables_share_beginnings(monkeypatch):
+    built = []
+    fill = prefix_bpe.PrefixTable._fill
+    monkeypatch.setattr(prefix_bpe.PrefixTable, "_fill", lambda self, begin, stop: (built.append(stop - begin), fill(self, begin, stop))[1])
+    encoder = prefix_bpe.Encoder(prefix_bpe.encoder(RANKS, P.PATTERN).vocabulary)
+    stem = "unwordlikebeginningsofthesort"
+    text = ", ".join(f"{stem}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)) + "\n"
+    assert encoder.decode(encoder.encode(text * 3)).decode() == text * 3
+    # Of 400 words that begin alike, one is built whole and one more without its space.
+    assert sum(built) < 400 * 3 + 100
+    encoder.encode(text)
+    assert sum(built) < 400 * 3 + 100
+
+
+def test_bpe_table_of_other_data():
+    v = prefix_bpe.encoder(RANKS, P.PATTERN).vocabulary
+    table = prefix_bpe.PrefixTable(v)
+    for text in sorted(t.encode() for t in awkward(500)) + [b"", b"abc", b"abcd", b"ab", b"xb"]:
+        assert table.become(text).last == prefix_bpe.PrefixTable(v, text).last and table.data == text
+
+
+def test_bpe_chunks_like_the_library(library, monkeypatch):
+    monkeypatch.setattr(chunks, "GROUP_BYTES", 1000)
+    encoder = prefix_bpe.Encoder(prefix_bpe.encoder(RANKS, P.PATTERN).vocabulary)
+    encoder.chunks.limit = 40
+    texts = [*awkward(), "", None, "x" * 5000]
+    got = list(encoder.chunks.encode(pa.array(texts)))
+    assert [i.tolist() for i in got] == [library.encode_ordinary(t or "") for t in texts]
+    assert [encoder.decode(i.tobytes()) for i in got] == [(t or "").encode() for t in texts]
