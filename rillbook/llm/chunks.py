@@ -74,7 +74,7 @@ class ChunkEncoder:
     in both. Texts that hold one of ``literals`` are one chunk. Results depend on none of this.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], literals: list[str] = (), limit: int = 400_000, longest: int = 64):
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], literals: list[str] = (), limit: int = 600_000, longest: int = 64):
         self.encode_all, self.literals, self.limit, self.longest = encode_all, literals, limit, longest
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
