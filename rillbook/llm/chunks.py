@@ -74,8 +74,11 @@ class ChunkEncoder:
     in both. Texts that hold one of ``literals`` are one chunk. Results depend on none of this.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], literals: list[str] = (), limit: int = 600_000, longest: int = 64):
-        self.encode_all, self.literals, self.limit, self.longest = encode_all, literals, limit, longest
+    def __init__(
+        self, encode_all: Callable[[list[str]], list[bytes]], literals: list[str] = (), limit: int = 600_000, longest: int = 64,
+        group_bytes: int = GROUP_BYTES,
+    ):
+        self.encode_all, self.literals, self.limit, self.longest, self.group_bytes = encode_all, literals, limit, longest, group_bytes
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -119,7 +122,7 @@ class ChunkEncoder:
         bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         row = 0
         while row < len(texts):
-            stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + GROUP_BYTES, "right")) - 1)
+            stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + self.group_bytes, "right")) - 1)
             size = int(bounds[stop] - bounds[row])
             if size:
                 data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(bounds[row]))

@@ -12,7 +12,6 @@ import hashlib
 import struct
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -169,6 +168,10 @@ class PrefixTable:
         return out[::-1]
 
 
+#: Workers outlive a stage, and other stages need the memory: a small memo, small groups.
+MEMO, GROUP_BYTES = 60_000, 1 << 20
+
+
 class Encoder:
     """Texts to ids: each match of the pattern by a table, whole-piece tokens as they are.
 
@@ -177,7 +180,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.chunks = vocabulary, ChunkEncoder(self._chunks)
+        self.vocabulary, self.chunks = vocabulary, ChunkEncoder(self._chunks, limit=MEMO, group_bytes=GROUP_BYTES)
         self.spelled = pa.array([vocabulary.bytes_of.get(i) for i in range(max(vocabulary.bytes_of) + 1)], pa.large_binary())
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
@@ -218,12 +221,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     """
     kinds = _RESULT + (", ids array<bigint>" if with_ids else "")
 
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    def encode(texts: pa.Array) -> pa.Array:
         enc, rows = encoder(path, pattern), []
-        for found in enc.chunks.encode(pa.array(texts, pa.large_string(), from_pandas=True)):
+        for found in enc.chunks.encode(texts):
             ids = found.tobytes()
             row = (len(found), hashlib.sha256(ids).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest())
             rows.append((*row, found.tolist()) if with_ids else row)
-        return pd.DataFrame(rows, columns=[k.split()[0] for k in kinds.split(", ")])
+        columns = zip(*rows) if rows else [[] for _ in kinds.split(", ")]
+        return pa.StructArray.from_arrays([*map(pa.array, columns, types)], [k.split()[0] for k in kinds.split(", ")])
 
-    return docs.select("doc_id", F.pandas_udf(encode, kinds)(F.col("text")).alias("e")).select("doc_id", "e.*")
+    types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())][: len(kinds.split(", "))]
+    return docs.select("doc_id", F.arrow_udf(encode, kinds)(F.col("text")).alias("e")).select("doc_id", "e.*")

@@ -40,12 +40,11 @@ def test_records_encode_distinct_words_once():
 
 
 @pytest.mark.parametrize("options", [{}, {"limit": 40, "longest": 6}])
-def test_record_chunks_like_the_library(monkeypatch, options):
+def test_record_chunks_like_the_library(options):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(chunks, "GROUP_BYTES", 1000)
     tk, known = Tokenizer.from_file(JSON), record_files.tokenizer(JSON)
-    encoder = chunks.ChunkEncoder(known.encode_all, known.literals, **options)
+    encoder = chunks.ChunkEncoder(known.encode_all, known.literals, group_bytes=1000, **options)
     texts = [*awkward(), "a <|endoftext|> b, c", "", "x" * 5000, None, "x<|endoftext|>, y\nz"]
     # Texts of a slice begin in the middle of its buffer.
     got = [i.tolist() for i in encoder.encode(pa.array(["cut off", *texts, "too"])[1:-1])]
@@ -82,11 +81,17 @@ def test_bpe_table_of_other_data():
         assert table.become(text).last == prefix_bpe.PrefixTable(v, text).last and table.data == text
 
 
-def test_bpe_chunks_like_the_library(library, monkeypatch):
-    monkeypatch.setattr(chunks, "GROUP_BYTES", 1000)
+def test_bpe_chunks_like_the_library(library):
     encoder = prefix_bpe.Encoder(prefix_bpe.encoder(RANKS, P.PATTERN).vocabulary)
-    encoder.chunks.limit = 40
+    encoder.chunks.limit, encoder.chunks.group_bytes = 40, 1000
     texts = [*awkward(), "", None, "x" * 5000]
     got = list(encoder.chunks.encode(pa.array(texts)))
     assert [i.tolist() for i in got] == [library.encode_ordinary(t or "") for t in texts]
     assert [encoder.decode(i.tobytes()) for i in got] == [(t or "").encode() for t in texts]
+
+
+def test_bpe_ids_on_request(spark, library):
+    texts = [*awkward(50), None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in prefix_bpe.encode_documents(rows, RANKS, P.PATTERN, with_ids=True).collect()}
+    assert got == {i: library.encode_ordinary(t or "") for i, t in enumerate(texts)}
