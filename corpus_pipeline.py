@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rillbook.llm import mixing, ngram_join, prefix_bpe, pseudonyms, weak_rules
 from rillbook.llm.common import stored
+from rillbook.session import configure_long_texts
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +39,22 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
 
 
+def in_small_batches(stage: Callable) -> Callable:
+    """The stage on a session set for long texts, which it stays: what a stage returns is read later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(configure_long_texts(spark), docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality rules", quality),
-    ("near duplicates", near_duplicates),
-    ("personal data", personal_data),
-    ("mix to target weights", mix),
-    ("byte-level BPE", encode),
+    ("quality rules", in_small_batches(quality)),
+    ("near duplicates", in_small_batches(near_duplicates)),
+    ("personal data", in_small_batches(personal_data)),
+    ("mix to target weights", in_small_batches(mix)),
+    ("byte-level BPE", in_small_batches(encode)),
 ]
 
 #: Expectation-maximisation, MinHash and merges are beyond SQL; tests hold the stages against plain Python.

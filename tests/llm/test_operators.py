@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from rillbook.llm import (
     common, forest_search, html_text, licences, mixing, ngram_join, prefix_bpe, pseudonyms, record_files, secret_scan, weak_rules,
 )
 from rillbook.llm.queries import llm_oracle_sql, llm_queries
+from rillbook.session import LONG_TEXT_CONF
 from tests.conftest import SF
 from tools.oracle_check import compare, duck_frame, spark_frame
 
@@ -92,6 +94,20 @@ def test_pipeline_rows(spark, docs):
     assert all(r.n_tokens > 0 for r in final)
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stage_sends_few_long_texts_at_once(spark, stage):
+    """Executors hold a batch of a task on both sides of Python, whatever the length of the texts."""
+    before = {k: spark.conf.get(k, None) for k in LONG_TEXT_CONF}
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat("id", F.lit(" word" * 1000)).alias("text"), F.lit("s").alias("source"))
+    at_once = F.pandas_udf(lambda texts: pd.Series([texts.str.len().sum()] * len(texts)), "bigint")
+    try:
+        corpus_pipeline.STAGES[stage][1](spark, rows, SF)
+        assert rows.agg(F.max(at_once("text"))).first()[0] < 8 << 20
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 @pytest.mark.parametrize("name", list(llm_oracle_sql()))
 def test_sql(spark, duck, name):
     assert compare(spark_frame(llm_queries()[name](spark, SF)), duck_frame(duck, llm_oracle_sql()[name])) == ""
